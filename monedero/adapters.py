@@ -325,7 +325,7 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_file",
         F.col("i").cast("bigint").alias("line_no"),
         F.when(F.col("i") == F.col("junk"), F.col("h"))
-        .otherwise(F.concat(F.lit("Banco de Prueba, hoja "), F.col("i").cast("string")))
+        .otherwise(F.concat(F.lit("Banco de Prueba hoja "), F.col("i").cast("string")))
         .alias("line"),
     )
     key, total = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")

@@ -7,37 +7,36 @@ from pyspark.sql import functions as F
 
 from monedero.schema import MONEY
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_NOT_AMOUNT = r"[^0-9,.\-]"
 _NBSP = "\u00a0"
 
 
 def _to_double(c: Column) -> Column:
     # The pattern keeps out spellings only Java reads as numbers ('1.0d', 'NaN').
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    return F.regexp_extract(c, _NUMBER, 0).try_cast("double")
 
 
 def amount_cli(c: Column) -> Column:
     """Raw-statement rule: with both separators the dot groups and the comma is decimal."""
-    kept = F.regexp_replace(c.cast("string"), r"[^0-9,.\-]", "")
-    has_comma = F.contains(kept, F.lit(","))
-    has_dot = F.contains(kept, F.lit("."))
-    many_commas = F.length(kept) - F.length(F.replace(kept, F.lit(","))) > 1
+    text = c.cast("string")
+    kept = F.regexp_replace(text, _NOT_AMOUNT, "")
+    both = text.rlike(r",.*\.|\..*,")
+    many_commas = text.rlike(r",.*,")
     return _to_double(
-        F.when(has_comma & has_dot, F.replace(F.replace(kept, F.lit(".")), F.lit(","), F.lit(".")))
-        .when(many_commas, F.replace(kept, F.lit(",")))
-        .otherwise(F.replace(kept, F.lit(","), F.lit(".")))
+        F.when(both, F.translate(kept, ",.", "."))
+        .when(many_commas, F.translate(kept, ",", ""))
+        .otherwise(F.translate(kept, ",", "."))
     )
 
 
 def amount_app(c: Column) -> Column:
     """Upload rule: a comma is decimal only where there is no dot, else it groups."""
-    text = F.regexp_replace(F.replace(c.cast("string"), F.lit("CLP")), f"[$ {_NBSP}]", "")
-    text = F.btrim(text, F.lit("\t\n\r"))
-    only_comma = F.contains(text, F.lit(",")) & ~F.contains(text, F.lit("."))
+    text = F.btrim(c.cast("string"), F.lit("\t\n\r" + _NBSP + " "))
+    kept = F.regexp_replace(text, f"[$ {_NBSP}]|CLP", "")
+    only_comma = text.rlike(r"^[^.]*,[^.]*$")
     return _to_double(
-        F.when(only_comma, F.replace(text, F.lit(","), F.lit("."))).otherwise(
-            F.replace(text, F.lit(","))
-        )
+        F.when(only_comma, F.translate(kept, ",", ".")).otherwise(F.translate(kept, ",", ""))
     )
 
 
@@ -46,10 +45,9 @@ def amount_sep(c: Column, decimal_sep: str) -> Column:
     if decimal_sep not in (".", ","):
         raise ValueError("decimal_sep must be '.' or ','")
     group = "," if decimal_sep == "." else "."
-    kept = F.regexp_replace(c.cast("string"), r"[^0-9,.\-]", "")
-    return _to_double(
-        F.replace(F.replace(kept, F.lit(group)), F.lit(decimal_sep), F.lit("."))
-    )
+    kept = F.regexp_replace(c.cast("string"), _NOT_AMOUNT, "")
+    # The group mark has no counterpart in the second list and is dropped.
+    return _to_double(F.translate(kept, decimal_sep + group, "."))
 
 
 def money(c: Column) -> Column:

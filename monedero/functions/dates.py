@@ -1,7 +1,7 @@
 """Date parsers: text to DATE by trying layouts in order, NULL when none fits.
 
-The text is cut into three numbers once and each layout is then plain integer
-arithmetic, so no layout costs an exception per row.
+The shape of the text picks the few layouts worth trying, so a row seldom pays
+for a failed parse.
 """
 
 from __future__ import annotations
@@ -9,75 +9,61 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_THREE_PARTS = r"^[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}$"
-_ISO_TIMESTAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}.*$"
-
-
-class _Parts:
-    """First, middle and last number of a date text, with its separator."""
-
-    def __init__(self, c: Column):
-        text = F.btrim(c.cast("string"), F.lit(" \t\n\r\u00a0"))
-        text = F.when(text.rlike(_ISO_TIMESTAMP), F.regexp_extract(text, r"^([0-9-]+)", 1)).otherwise(text)
-        ok = text.rlike(_THREE_PARTS)
-        cells = F.when(ok, F.split(text, r"[-/.]"))
-        self._cells = cells
-        self._sep = F.substring(text, F.length(F.get(cells, F.lit(0))) + 1, F.lit(1))
-
-    def _int(self, i: int) -> Column:
-        return F.get(self._cells, F.lit(i)).cast("int")
-
-    def _digits(self, i: int) -> Column:
-        return F.length(F.get(self._cells, F.lit(i)))
-
-    def layout(self, order: str, seps: str) -> Column:
-        """`order` is e.g. 'Ymd'; 'Y' is a four-digit year, 'y' a two-digit one."""
-        at = {part: i for i, part in enumerate(order)}
-        if "Y" in at:
-            year, width = self._int(at["Y"]), self._digits(at["Y"]) == 4
-        else:
-            short = self._int(at["y"])
-            year = short + F.when(short >= 69, 1900).otherwise(2000)
-            width = self._digits(at["y"]) == 2
-        month, day = self._int(at["m"]), self._int(at["d"])
-        shape = (
-            self._sep.isin(*seps)
-            & width
-            & (self._digits(at["m"]) <= 2)
-            & (self._digits(at["d"]) <= 2)
-            & (year >= 1)
-            & month.between(1, 12)
-            & day.between(1, 31)
-        )
-        first = F.make_date(F.when(shape, year), F.when(shape, month), F.lit(1))
-        full = F.date_add(first, day - 1)
-        return F.when(F.month(full) == month, full)
+# Shapes: three numbers with one separator twice.
+_YEAR_FIRST = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}$"
+_YEAR_LAST = r"^[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}$"
+_SHORT_YEAR = r"^[0-9]{1,2}([-/])[0-9]{1,2}\1[0-9]{2}$"
+_TIMESTAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}"
+
+
+def _text(c: Column) -> Column:
+    return F.btrim(c.cast("string"), F.lit(" \t\n\r\u00a0"))
+
+
+def _read(text: Column, layout: str) -> Column:
+    """Parse with dashes whatever the separator was."""
+    return F.try_to_date(F.translate(text, "/.", "--"), layout)
+
+
+def _read_short_year(text: Column) -> Column:
+    """Two-digit years from 69 on belong to the last century."""
+    day = _read(text, "d-M-yy")
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
+def _read_timestamp(text: Column) -> Column:
+    return F.try_to_date(F.regexp_extract(text, "^[0-9-]+", 0), "yyyy-M-d")
+
+
+def _day_first(text: Column) -> Column:
+    month_first = F.when(F.contains(text, F.lit("/")), _read(text, "M-d-yyyy"))
+    return F.coalesce(_read(text, "d-M-yyyy"), month_first)
 
 
 def date_app(c: Column, date_format: str = "YYYY-MM-DD") -> Column:
     """Upload rule; `date_format` says whether year-first text has month or day second."""
-    p = _Parts(c)
-    year_month = [p.layout("Ymd", "-/")]
-    year_day = [p.layout("Ydm", "-/")]
-    day_first = [p.layout("dmY", "-/."), p.layout("mdY", "/")]
-    if date_format == "YYYY-DD-MM":
-        tries = year_day + year_month + day_first
-    elif date_format == "YYYY-MM-DD":
-        tries = year_month + day_first + year_day
-    else:
+    if date_format not in ("YYYY-MM-DD", "YYYY-DD-MM"):
         raise ValueError("date_format must be 'YYYY-MM-DD' or 'YYYY-DD-MM'")
-    return F.coalesce(*tries, p.layout("dmy", "-/"))
+    text = _text(c)
+    order = ["yyyy-M-d", "yyyy-d-M"]
+    if date_format == "YYYY-DD-MM":
+        order.reverse()
+    return (
+        F.when(text.rlike(_YEAR_FIRST), F.coalesce(*[_read(text, f) for f in order]))
+        .when(text.rlike(_YEAR_LAST), _day_first(text))
+        .when(text.rlike(_SHORT_YEAR), _read_short_year(text))
+        .when(text.rlike(_TIMESTAMP), _read_timestamp(text))
+    )
 
 
 def date_cli(c: Column) -> Column:
-    """Raw-statement rule: day first, then year first, then month first."""
-    p = _Parts(c)
-    return F.coalesce(
-        p.layout("dmY", "-/"),
-        p.layout("Ymd", "-"),
-        p.layout("dmy", "-/"),
-        p.layout("mdY", "/"),
-        p.layout("dmY", "."),
+    """Raw-statement rule: day first, then year first with dashes, then month first."""
+    text = _text(c)
+    return (
+        F.when(text.rlike(_YEAR_LAST), _day_first(text))
+        .when(text.rlike(_SHORT_YEAR), _read_short_year(text))
+        .when(text.rlike(_YEAR_FIRST.replace("[-/]", "-")), _read(text, "yyyy-M-d"))
+        .when(text.rlike(_TIMESTAMP), _read_timestamp(text))
     )
 
 

@@ -44,9 +44,7 @@ def _folding(form: str) -> tuple[str, str]:
 
 
 def _fold(c: Column, form: str) -> Column:
-    src, dst = _folding(form)
-    plain_ascii = F.octet_length(c) == F.char_length(c)
-    return F.when(plain_ascii, c).otherwise(F.translate(c, src, dst))
+    return F.translate(c, *_folding(form))
 
 
 def _squeeze(c: Column) -> Column:

@@ -13,7 +13,7 @@ from monedero.operators import ingest as ing
 from monedero.operators import metrics, mutate, projection, reimburse, rules, suggest, views
 from monedero.plans import jobs
 from monedero.schema import LEDGER_COLUMNS, MASTER, MatchConfig
-from monedero.session import work_dir
+from monedero.session import stage, work_dir
 from monedero.sources import exports, statements, store
 from monedero.streaming import ingest_stream
 
@@ -306,12 +306,13 @@ def ignored_parsed(spark, sf):
 
 
 def _ingest(spark, sf):
+    """The upload as it runs on stored tables: inputs and cleaned batch are written first."""
     return ing.ingest(
-        a.upload_batch(spark, sf),
-        a.stored_ledger(spark, sf),
-        a.ignored_rows(spark, sf),
-        a.deleted_keys(spark, sf),
-        a.exact_rules(spark, sf),
+        stage(a.upload_batch(spark, sf)),
+        stage(a.stored_ledger(spark, sf)),
+        stage(a.ignored_rows(spark, sf)),
+        stage(a.deleted_keys(spark, sf)),
+        stage(a.exact_rules(spark, sf)),
         AT,
     )
 
@@ -361,9 +362,9 @@ def ignored_filter_empty_ledger(spark, sf):
 
 def _upsert(spark, sf):
     return ing.upsert(
-        ing.force_expense(a.upload_batch(spark, sf)),
-        a.stored_ledger(spark, sf),
-        a.ignored_rows(spark, sf),
+        ing.force_expense(stage(a.upload_batch(spark, sf))),
+        stage(a.stored_ledger(spark, sf)),
+        stage(a.ignored_rows(spark, sf)),
         AT,
     )
 
@@ -701,7 +702,7 @@ def _alternatives_text(column: str):
 
 @query
 def suggest_similar(spark, sf):
-    ledger = a.ledger_orders(spark, sf)
+    ledger = stage(a.ledger_orders(spark, sf))
     found = suggest.suggest_similar(suggest.pending(ledger), ledger)
     return found.select(
         "unique_key",
@@ -714,8 +715,9 @@ def suggest_similar(spark, sf):
 
 @query
 def suggestions(spark, sf):
-    ledger = a.ledger_orders(spark, sf)
-    found = suggest.suggestions(views.scopes(ledger).view, ledger, a.exact_rules(spark, sf))
+    ledger = stage(a.ledger_orders(spark, sf))
+    rules_table = stage(a.exact_rules(spark, sf))
+    found = suggest.suggestions(views.scopes(ledger).view, ledger, rules_table)
     return found.select(
         "unique_key",
         "detalle",

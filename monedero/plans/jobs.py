@@ -15,7 +15,7 @@ from monedero.operators.rules import (
     mark_own_transfers,
 )
 from monedero.schema import LEDGER_COLUMNS, MASTER, MatchConfig
-from monedero.session import cut_lineage
+from monedero.session import stage
 from monedero.sources import store
 from monedero.sources.statements import read_statements
 
@@ -31,16 +31,16 @@ def run_upload(
 ) -> dict[str, int]:
     """Read statement files, ingest them into the store under `root`, return the counts.
 
-    The cleaned batch is cut once, so files are parsed one time, and so are the
+    The cleaned batch is written once, so files are parsed one time, and so are the
     winners, which the counts and both writes share. New rows and new ignored
     entries enter the store in one version.
     """
     ledger, ignored, tombstones, rules = store.load_tables(
         spark, root, "ledger", "ignored", "tombstones", "rules"
     )
-    batch = cut_lineage(ing.clean_batch(read_statements(spark, path, date_format), rules))
+    batch = stage(ing.clean_batch(read_statements(spark, path, date_format), rules))
     rows = ing.wanted_rows(batch, ledger, ignored, tombstones)
-    winners = cut_lineage(ing.pick_winners(rows, ledger))
+    winners = stage(ing.pick_winners(rows, ledger))
     inserted, duplicates = ing.split_batch(rows, winners)
     counts = ing.ingest_counts(batch, winners, ledger, ignored, tombstones).first().asDict()
     new = {
@@ -77,10 +77,10 @@ def run_update_master(
 ) -> DataFrame:
     """Update the stored master and return the learned rules.
 
-    The master is cut once: it feeds its own snapshot and the learning.
+    The master is written once: it feeds its own snapshot and the learning.
     """
     master, _ = update_master(new, store.load_master(spark, root), rules, cfg)
-    kept = cut_lineage(master)
+    kept = stage(master)
     store.save_snapshot(kept, root, "master")
     return learn_merchant_rules(kept, rules).orderBy(
         "ord", F.asc_nulls_last("since"), "since_id"

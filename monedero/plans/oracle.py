@@ -200,7 +200,20 @@ amounts AS (
 
 
 def _try(*formats: str) -> str:
-    return "coalesce(" + ", ".join(f"CAST(try_strptime(date_text, '{f}') AS DATE)" for f in formats) + ")"
+    """Try formats in order; a format counts only where its digits fit the text."""
+    digits = {"%Y": "[0-9]{4}", "%y": "[0-9]{2}", "%m": "[0-9]{1,2}", "%d": "[0-9]{1,2}"}
+
+    def one(f: str) -> str:
+        shape = f
+        for mark, pattern in digits.items():
+            shape = shape.replace(mark, pattern)
+        shape = shape.replace(".", "[.]")
+        return (
+            f"CASE WHEN regexp_full_match(date_text, '{shape}') THEN "
+            f"CAST(try_strptime(date_text, '{f}') AS DATE) END"
+        )
+
+    return "coalesce(" + ", ".join(one(f) for f in formats) + ")"
 
 
 _ISO = "CAST(try_strptime(date_text, '%Y-%m-%d %H:%M:%S') AS DATE)"
@@ -296,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
     sql["column_roles"] = r"""
       SELECT 'cliente-' || c_custkey AS source_file, [';', ',', chr(9), '|', ';'][c_custkey % 5 + 1] AS delim,
         CASE WHEN c_custkey % 5 = 4 AND c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 0 ELSE 1 END AS fecha,
-        CASE WHEN c_custkey % 5 = 2 THEN 1 WHEN c_custkey % 5 = 4 AND c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 0 ELSE 2 END AS detalle,
+        CASE WHEN c_custkey % 5 = 4 AND c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 0 ELSE 2 END AS detalle,
         CASE WHEN c_custkey % 5 = 1 THEN 4 ELSE 0 END AS abono,
         CASE WHEN c_custkey % 5 = 1 THEN 3 ELSE 0 END AS cargo,
         CASE WHEN c_custkey % 5 = 1 THEN 0 ELSE 3 END AS monto FROM customer"""
@@ -328,12 +341,12 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_TEXTS} SELECT kind, id, {_squeezed('strip_accents(lower(text))')} AS norm FROM texts"
     )
     sql["norm_cli"] = (
-        f"WITH {_TEXTS} SELECT kind, id, upper({_squeezed('strip_accents(text)')}) AS norm FROM texts"
+        f"WITH {_TEXTS} SELECT kind, id, upper(replace({_squeezed('strip_accents(text)')}, 'ß', 'SS')) AS norm FROM texts"
     )
     plain = "strip_accents(translate(text, 'ºª', 'oa'))"
     sql["norm_alnum"] = (
         f"WITH {_TEXTS} SELECT kind, id, "
-        rf"upper(trim(regexp_replace({plain}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS norm FROM texts"
+        rf"upper(replace(trim(regexp_replace({plain}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 'ß', 'SS')) AS norm FROM texts"
     )
     sql["amount_cli"] = f"""
       WITH {_RAW}, kept AS (SELECT o_orderkey, regexp_replace(amount_text, '[^0-9,.-]', '', 'g') AS k FROM amounts)
@@ -351,8 +364,7 @@ def oracle_sql() -> dict[str, str]:
     sql["date_app"] = f"""WITH {_RAW} SELECT o_orderkey, coalesce({_try('%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%d/%m/%Y',
       '%d.%m.%Y', '%m/%d/%Y', '%Y-%d-%m', '%Y/%d/%m', '%d/%m/%y')}, {_ISO}) AS fecha FROM raw"""
     sql["date_app_ydm"] = f"""WITH {_RAW} SELECT o_orderkey, coalesce({_try('%Y-%d-%m', '%Y/%d/%m', '%Y-%m-%d', '%Y/%m/%d',
-      '%d-%m-%Y', '%d/%m/%Y', '%d.%m.%Y', '%m/%d/%Y', '%d/%m/%y')},
-      CAST(try_strptime(date_text, '%Y-%d-%m %H:%M:%S') AS DATE), {_ISO}) AS fecha FROM raw"""
+      '%d-%m-%Y', '%d/%m/%Y', '%d.%m.%Y', '%m/%d/%Y', '%d/%m/%y')}, {_ISO}) AS fecha FROM raw"""
     sql["flags_truthy"] = f"""WITH {_RAW} SELECT o_orderkey,
       lower(trim(flag_text)) IN ('1', 'true', 't', 'yes', 'y', 'si', 'sí') AS subida,
       lower(trim(flag_text)) IN ('1', '2', 'true', 't', 'yes', 'y', 'si', 'sí', 's', 'verdadero') AS guardada FROM raw"""

@@ -1,4 +1,4 @@
-"""Session settings the operators rely on, and reliable lineage cuts."""
+"""Session settings the operators rely on, and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -46,7 +46,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/monedero-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the shared folder."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the written table.
+
+    Used where a result feeds several branches of a plan: the branches then read
+    only the columns they need, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -65,7 +65,6 @@ PARTS = {
     "monto": ("monto", "importe", "cargo", "abono"),
 }
 # ----------------------------------------------------------------------------
-MAX_COLUMNS = 64
 _DATE_LIKE = r"[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}"
 _CP1252 = bytes(range(0x80, 0xA0)).decode("latin-1")
 _CP1252_TEXT = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
@@ -130,25 +129,18 @@ def sniff_delimiter(lines: DataFrame) -> DataFrame:
 
 def _split(line: Column, delim: Column) -> Column:
     """Plain split at the file's delimiter."""
-    cells = F.split(line, f"\\{DELIMITERS[-1]}", -1)
-    for d in DELIMITERS[:-1]:
-        cells = F.when(delim == d, F.split(line, f"\\{d}" if d != "\t" else d, -1)).otherwise(cells)
-    return cells
+    return F.split(line, F.concat(F.lit("\\"), delim), -1)
 
 
 def _parse(line: Column, delim: Column) -> Column:
-    """Cells of a line; a quoted cell may hold the delimiter."""
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    schema = ", ".join(f"{n} string" for n in names)
-
-    def quoted(d: str) -> Column:
-        s = F.from_csv(line, schema, {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-        return F.array(*[s[n] for n in names])
-
-    cells = quoted(DELIMITERS[-1])
-    for d in DELIMITERS[:-1]:
-        cells = F.when(delim == d, quoted(d)).otherwise(cells)
-    return F.when(F.contains(line, F.lit('"')), cells).otherwise(_split(line, delim))
+    """Cells of a line; a quoted cell may hold the delimiter, and "" stands for a quote."""
+    outside_quotes = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    quoted = F.split(line, F.concat(F.lit("\\"), delim, F.lit(outside_quotes)), -1)
+    bare = F.transform(
+        quoted,
+        lambda c: F.replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"')),
+    )
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(_split(line, delim))
 
 
 def find_header(lines: DataFrame, delims: DataFrame) -> DataFrame:
@@ -234,14 +226,13 @@ def column_roles(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     date-like value, one without a description name its column with the longest
     mean text; only such files are looked into.
     """
-    named = layouts.withColumns(
-        {
-            role: _first_match(
-                F.col("header"), lambda h, p=pattern: F.coalesce(h.rlike(p), F.lit(False))
-            )
-            for role, pattern in ROLE_PATTERNS.items()
-        }
-    )
+
+    def named_like(pattern: str) -> Column:
+        return _first_match(
+            F.col("header"), lambda h: F.coalesce(h.rlike(pattern), F.lit(False))
+        )
+
+    named = layouts.withColumns({r: named_like(p) for r, p in ROLE_PATTERNS.items()})
     unsure = named.filter((F.col("fecha") == 0) | (F.col("detalle") == 0))
     cells = (
         statement_rows(lines, unsure.select("source_file", "delim", "header_line", "header"))

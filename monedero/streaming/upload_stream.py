@@ -9,6 +9,10 @@ from monedero.plans.jobs import run_upload
 from monedero.sources import store
 
 
+# The fixed columns of this source; only the path is ever read.
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def ingest_stream(
     spark: SparkSession,
     in_dir: str,
@@ -27,6 +31,7 @@ def ingest_stream(
     """
     files = (
         spark.readStream.format("binaryFile")
+        .schema(_FILES)
         .option("maxFilesPerTrigger", max_files)
         .load(in_dir)
         .select("path")
