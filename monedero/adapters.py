@@ -15,7 +15,18 @@ from monedero.session import tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; one that comes in fewer pieces than there are cores is spread over them.
+
+    A table of many files or row groups already fills the cores and is not shuffled.
+    """
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _FACTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+_FACTS = ("orders", "lineitem", "events", "documents")
 
 
 def as_ledger(df: DataFrame) -> DataFrame:

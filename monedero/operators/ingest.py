@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from monedero.functions import ledger_key, money, norm_db, truthy
 from monedero.functions.text import blank
 from monedero.operators.rules import map_categories
-from monedero.schema import FLAG_COLUMNS, LEDGER_COLUMNS, LEDGER_TYPES
+from monedero.schema import LEDGER_COLUMNS, LEDGER_TYPES
+from monedero.session import stage
 
 PLACE = ("source_file", "line_no")
 
@@ -42,11 +43,11 @@ def force_expense(df: DataFrame) -> DataFrame:
     )
 
 
-def compute_keys(df: DataFrame) -> DataFrame:
-    """Normalise `detalle_norm` and add `monto_cartola` and `unique_key`."""
+def compute_keys(df: DataFrame, normalised: bool = False) -> DataFrame:
+    """Normalise `detalle_norm`, unless it is already, and add `monto_cartola` and `unique_key`."""
     source = "detalle_norm" if "detalle_norm" in df.columns else "detalle"
     base = "monto_cartola" if "monto_cartola" in df.columns else "monto"
-    norm = norm_db(F.col(source))
+    norm = F.col("detalle_norm") if normalised else norm_db(F.col(source))
     keyed = df.withColumns(
         {"detalle_norm": norm, "monto_cartola": money(F.col(base)).cast("double")}
     )
@@ -191,7 +192,7 @@ def upsert(
 
 def clean_batch(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """Raw statement rows to keyed expense rows with a category."""
-    return compute_keys(map_categories(force_expense(raw), rules))
+    return compute_keys(map_categories(force_expense(raw), rules), normalised=True)
 
 
 def ingest(
@@ -205,11 +206,13 @@ def ingest(
     """(rows to insert, new ignored entries, counts) of one raw batch.
 
     `counts` has one row: inserted, duplicates, rows dropped as deleted, and rows
-    dropped because their key is on the ignored list.
+    dropped because their key is on the ignored list. The cleaned batch is written
+    once, so files are parsed and keys hashed one time, and so are the winners,
+    which all three results share.
     """
-    batch = clean_batch(raw, rules)
+    batch = stage(clean_batch(raw, rules))
     rows = wanted_rows(batch, ledger, ignored, tombstones)
-    winners = pick_winners(rows, ledger)
+    winners = stage(pick_winners(rows, ledger))
     inserted, duplicates = split_batch(rows, winners)
     return (
         inserted.select(*LEDGER_COLUMNS),
@@ -268,20 +271,19 @@ def dedup_latest(ledger: DataFrame) -> DataFrame:
     )
 
 
-def merge_master(master: DataFrame, new: DataFrame) -> DataFrame:
+def merge_master(master: DataFrame, new: DataFrame, master_is_unique: bool = False) -> DataFrame:
     """Master rows plus the new rows whose id it lacks, one row per id.
 
-    A master row always beats a new one; among new rows the first by date and
-    text stays, since equal ids mean equal date, text and amount.
+    A master row always beats a new one. Equal ids mean equal date, text and
+    amount, so among equals the first by the remaining columns stays. A master
+    made by this function is unique and need not be looked through again.
     """
-    fresh = new.join(master.select("id"), "id", "left_anti")
-    both = master.withColumn("_new", F.lit(0)).unionByName(
-        fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True
-    )
-    columns = [c for c in both.columns if c != "_new"]
-    order = F.struct("_new", "fecha", "detalle", "monto")
-    return (
-        both.groupBy("id")
-        .agg(F.min_by(F.struct(*columns), order).alias("_row"))
-        .select("_row.*")
-    )
+    fresh = new.join(master.select("id"), "id", "left_anti").select(*new.columns)
+    known = master if master_is_unique else _first_per_id(master)
+    return known.unionByName(_first_per_id(fresh), allowMissingColumns=True)
+
+
+def _first_per_id(df: DataFrame) -> DataFrame:
+    order = F.struct("fecha", "detalle", "monto", "categoria")
+    row = F.struct(*df.columns)
+    return df.groupBy("id").agg(F.min_by(row, order).alias("_row")).select("_row.*")

@@ -47,13 +47,18 @@ def best_expenses(df: DataFrame, window_days: int = 21, tol: float = 1000.0) ->
             band_of(F.col("c") - tol_cents), band_of(F.col("c")), band_of(F.col("c") + tol_cents)
         )
     )
-    expenses = rows.filter(F.col("monto") < 0).select(
-        "day",
-        F.explode(nearby).alias("band"),
-        "c",
-        F.col("id").alias("gid"),
-        F.lit(False).alias("asks"),
-        F.lit(False).alias("is_credit"),
+    expenses = (
+        rows.filter(F.col("monto") < 0)
+        .groupBy("day", "c")
+        .agg(F.min("id").alias("gid"))
+        .select(
+            "day",
+            F.explode(nearby).alias("band"),
+            "c",
+            "gid",
+            F.lit(False).alias("asks"),
+            F.lit(False).alias("is_credit"),
+        )
     )
     back = F.sequence(F.lit(0), F.lit(window_days))
     credits = (
@@ -61,30 +66,29 @@ def best_expenses(df: DataFrame, window_days: int = 21, tol: float = 1000.0) ->
         .select("day", "c")
         .distinct()
         .select("day", "c", F.explode(back).alias("k"))
+        .groupBy((F.col("day") - F.col("k")).alias("day"), "c")
+        .agg(F.max(F.col("k") == 0).alias("is_credit"))
         .select(
-            (F.col("day") - F.col("k")).alias("day"),
+            "day",
             band_of(F.col("c")).alias("band"),
             "c",
             F.lit(None).cast("string").alias("gid"),
             F.lit(True).alias("asks"),
-            (F.col("k") == 0).alias("is_credit"),
-        )
-    )
-    cells = (
-        expenses.unionByName(credits)
-        .groupBy("day", "band", "c")
-        .agg(
-            F.min("gid").alias("gid"),
-            F.max("asks").alias("asks"),
-            F.max("is_credit").alias("is_credit"),
+            "is_credit",
         )
     )
+    cells = expenses.unionByName(credits)
 
+    # At equal amounts the expense comes first in both directions, so it is always seen.
     here = Window.partitionBy("day", "band")
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    expense = F.when(F.col("gid").isNotNull(), F.struct("c", "gid"))
-    below = F.last(expense, ignorenulls=True).over(here.orderBy("c").rowsBetween(*so_far))
-    above = F.last(expense, ignorenulls=True).over(here.orderBy(F.desc("c")).rowsBetween(*so_far))
+    expense = F.when(~F.col("asks"), F.struct("c", "gid"))
+    below = F.last(expense, ignorenulls=True).over(
+        here.orderBy("c", "asks").rowsBetween(*so_far)
+    )
+    above = F.last(expense, ignorenulls=True).over(
+        here.orderBy(F.desc("c"), F.asc("asks")).rowsBetween(*so_far)
+    )
 
     def candidate(side: str) -> Column:
         gap = F.abs(F.col(side)["c"] - F.col("c"))
@@ -95,6 +99,7 @@ def best_expenses(df: DataFrame, window_days: int = 21, tol: float = 1000.0) ->
         .withColumn("above", above)
         .filter("asks")
         .withColumn("near", F.least(candidate("below"), candidate("above")))
+        .filter(F.col("is_credit") | F.col("near").isNotNull())
         .select("day", "c", "is_credit", "near")
     )
     ranked = F.when(

@@ -14,6 +14,7 @@ from monedero.operators.mutate import apply_edits
 from monedero.operators.reimburse import cents
 from monedero.operators.rules import learn_rules
 from monedero.schema import UNCATEGORISED
+from monedero.session import stage
 
 ALTERNATIVES = "array<struct<categoria:string,score:double>>"
 _PREFIX = 4
@@ -105,27 +106,31 @@ def suggest_dominant(
     )
 
 
-def _groups(probes: DataFrame, hist_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _groups(probes: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, g) of the questions and (name, g) of the history that answers them.
 
     A name with history is its own group. Another name asks the group of its
     first four characters, answered by every history name that contains them.
     """
-    asked = probes.select("name").distinct()
-    own = asked.join(hist_names, "name", "left_semi").select(
+    names = (
+        probes.select("name", F.lit(True).alias("asks"), F.lit(False).alias("known"))
+        .unionByName(history.select("name", F.lit(False).alias("asks"), F.lit(True).alias("known")))
+        .groupBy("name")
+        .agg(F.max("asks").alias("asks"), F.max("known").alias("known"))
+    )
+    own = names.filter("asks and known").select(
         "name", F.concat(F.lit("n"), F.col("name")).alias("g")
     )
-    by_prefix = (
-        asked.join(hist_names, "name", "left_anti")
-        .filter(F.length("name") >= _PREFIX)
-        .select("name", F.concat(F.lit("p"), F.substring("name", 1, _PREFIX)).alias("g"))
+    long_enough = F.length("name") >= _PREFIX
+    by_prefix = names.filter(F.expr("asks and not known") & long_enough).select(
+        "name", F.concat(F.lit("p"), F.substring("name", 1, _PREFIX)).alias("g")
     )
     starts = F.sequence(F.lit(1), F.length("name") - (_PREFIX - 1))
     grams = F.array_distinct(
         F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(_PREFIX)))
     )
     containing = (
-        hist_names.filter(F.length("name") >= _PREFIX)
+        names.filter(F.col("known") & long_enough)
         .select("name", F.explode(grams).alias("gram"))
         .select("name", F.concat(F.lit("p"), F.col("gram")).alias("g"))
         .join(by_prefix.select("g").distinct(), "g", "left_semi")
@@ -194,11 +199,16 @@ def similar_probes(
     rel_tol: float = 0.25,
     abs_tol: float = 1000.0,
 ) -> DataFrame:
-    """(name, cents, alternativas) for distinct (name, cents) questions that find history."""
-    hist = history_base(ledger).groupBy("name", "categoria", "cents").agg(
-        F.count(F.lit(1)).alias("n")
+    """(name, cents, alternativas) for distinct (name, cents) questions that find history.
+
+    The counted history and the questions feed many branches, so both are written
+    once: the ledger is then read a single time.
+    """
+    hist = stage(
+        history_base(ledger).groupBy("name", "categoria", "cents").agg(F.count(F.lit(1)).alias("n"))
     )
-    asking, answering = _groups(probes, hist.select("name").distinct())
+    probes = stage(probes)
+    asking, answering = _groups(probes, hist)
     members = (
         hist.join(answering, "name")
         .groupBy("g", "categoria", "cents")
@@ -305,10 +315,11 @@ def suggestions(view: DataFrame, ledger: DataFrame, rules: DataFrame) -> DataFra
     dominant = dominant_names(ledger).select(
         "detalle_norm", F.col("sugerida").alias("by_history")
     )
-    decided = names.join(exact, "detalle_norm", "left").join(dominant, "detalle_norm", "left")
-    rows = (
-        rows.join(decided, "detalle_norm", "left")
-        .withColumns({"name": compare_name(F.col("detalle_norm")), "cents": cents(F.col("monto"))})
+    decided = stage(
+        names.join(exact, "detalle_norm", "left").join(dominant, "detalle_norm", "left")
+    )
+    rows = rows.join(decided, "detalle_norm", "left").withColumns(
+        {"name": compare_name(F.col("detalle_norm")), "cents": cents(F.col("monto"))}
     )
     open_rows = F.col("by_rule").isNull() & F.col("by_history").isNull()
     probes = rows.filter(open_rows & (F.col("name") != "")).select("name", "cents").distinct()

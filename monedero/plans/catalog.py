@@ -306,9 +306,9 @@ def ignored_parsed(spark, sf):
 
 
 def _ingest(spark, sf):
-    """The upload as it runs on stored tables: inputs and cleaned batch are written first."""
+    """The upload as it runs on stored tables."""
     return ing.ingest(
-        stage(a.upload_batch(spark, sf)),
+        a.upload_batch(spark, sf),
         stage(a.stored_ledger(spark, sf)),
         stage(a.ignored_rows(spark, sf)),
         stage(a.deleted_keys(spark, sf)),

@@ -14,7 +14,7 @@ from monedero.operators.rules import (
     learn_merchant_rules,
     mark_own_transfers,
 )
-from monedero.schema import LEDGER_COLUMNS, MASTER, MatchConfig
+from monedero.schema import MASTER, MatchConfig
 from monedero.session import stage
 from monedero.sources import store
 from monedero.sources.statements import read_statements
@@ -31,28 +31,25 @@ def run_upload(
 ) -> dict[str, int]:
     """Read statement files, ingest them into the store under `root`, return the counts.
 
-    The cleaned batch is written once, so files are parsed one time, and so are the
-    winners, which the counts and both writes share. New rows and new ignored
-    entries enter the store in one version.
+    New rows and new ignored entries enter the store in one version.
     """
     ledger, ignored, tombstones, rules = store.load_tables(
         spark, root, "ledger", "ignored", "tombstones", "rules"
     )
-    batch = stage(ing.clean_batch(read_statements(spark, path, date_format), rules))
-    rows = ing.wanted_rows(batch, ledger, ignored, tombstones)
-    winners = stage(ing.pick_winners(rows, ledger))
-    inserted, duplicates = ing.split_batch(rows, winners)
-    counts = ing.ingest_counts(batch, winners, ledger, ignored, tombstones).first().asDict()
-    new = {
-        "ledger": inserted.select(*LEDGER_COLUMNS),
-        "ignored": ing.record_ignored(duplicates, ignored, at),
-    }
+    raw = read_statements(spark, path, date_format)
+    inserted, entries, counts = ing.ingest(raw, ledger, ignored, tombstones, rules, at)
+    numbers = counts.first().asDict()
+    new = {"ledger": inserted, "ignored": entries}
     store.commit(spark, root, append=new, batch_id=batch_id, source=source)
-    return counts
+    return numbers
 
 
 def update_master(
-    new: DataFrame, master: DataFrame, rules: DataFrame, cfg: MatchConfig = MatchConfig()
+    new: DataFrame,
+    master: DataFrame,
+    rules: DataFrame,
+    cfg: MatchConfig = MatchConfig(),
+    master_is_unique: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(master, rules) after merging standardised rows.
 
@@ -63,7 +60,7 @@ def update_master(
     fresh = mark_own_transfers(apply_merchant_rules(fresh, rules), cfg.account_aliases)
     merged = net_mine(
         match_reimbursements(
-            ing.merge_master(master, fresh),
+            ing.merge_master(master, fresh, master_is_unique),
             cfg.reimbursement_window_days,
             cfg.reimbursement_amount_tolerance,
         )
@@ -79,7 +76,9 @@ def run_update_master(
 
     The master is written once: it feeds its own snapshot and the learning.
     """
-    master, _ = update_master(new, store.load_master(spark, root), rules, cfg)
+    master, _ = update_master(
+        new, store.load_master(spark, root), rules, cfg, master_is_unique=True
+    )
     kept = stage(master)
     store.save_snapshot(kept, root, "master")
     return learn_merchant_rules(kept, rules).orderBy(

@@ -1,11 +1,11 @@
 from pyspark.sql import SparkSession
 
 
-def make_session(cpus: str = "8") -> SparkSession:
+def make_session(cpus: str = "8", partitions: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("monedero-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
