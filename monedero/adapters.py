@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from monedero.functions import ledger_key, my_share, norm_alnum, norm_cli, norm_db
 from monedero.operators.ingest import default_real
 from monedero.schema import LEDGER_COLUMNS, LEDGER_TYPES, UNCATEGORISED
-from monedero.session import tune
+from monedero.session import stage, tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,7 +291,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active category list: the base category and the categories 'Cat0' to 'Cat6' in use."""
     used = ledger_orders(spark, sf_dir).select(F.col("categoria").alias("nombre"))
     base = used.select(F.lit(UNCATEGORISED).alias("nombre")).limit(1)
-    return used.filter(F.col("nombre").startswith("Cat")).unionByName(base).distinct()
+    return stage(used.filter(F.col("nombre").startswith("Cat")).unionByName(base).distinct())
 
 
 def _statement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

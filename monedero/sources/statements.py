@@ -1,8 +1,9 @@
 """Bank-statement files of unknown encoding, delimiter, header row and columns.
 
-Files are read as lines, so one huge file is split over many tasks like many
-small ones. What has to be known per file (encoding, delimiter, header, column
-roles) is aggregated into one small row per file and joined back to its lines.
+Small files are read whole, one task for many files; a huge file is split into
+blocks over many tasks. What has to be known per file (delimiter, header, column
+roles) is worked out from its first lines into one small row per file and joined
+back to its lines.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from monedero.functions import (
     norm_alnum,
     norm_cli,
 )
+from monedero.session import stage
 
 # --- fixed values -----------------------------------------------------------
 DELIMITERS = (";", ",", "\t", "|")
@@ -70,35 +72,51 @@ _CP1252 = bytes(range(0x80, 0xA0)).decode("latin-1")
 _CP1252_TEXT = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
 
-def _raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.text(path if isinstance(path, str) else list(path)).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        "value",
-    )
+# Files up to this size are read whole; larger ones are split by Spark into blocks.
+WHOLE_FILE_BYTES = 32 * 1024 * 1024
+# A quoted cell starts right after a separator; any other quote is plain text.
+_QUOTED = r'"(?:[^"]++|"")*+"'
+_RECORD = rf'\n((?:[^\n"]++|(?<![^;,\t|\n]){_QUOTED}|")*+)'
 
 
 def decode_text(value: Column, is_utf8: Column) -> Column:
-    """Line bytes to text: UTF-8, else Windows-1252; a byte-order mark is dropped."""
+    """Bytes to text: UTF-8, else Windows-1252; a byte-order mark is dropped."""
     western = F.translate(
         F.decode(value.cast("binary"), "ISO-8859-1"), _CP1252, _CP1252_TEXT
     )
-    return F.regexp_replace(F.when(is_utf8, value).otherwise(western), "^﻿", "")
+    return F.regexp_replace(F.when(is_utf8, value).otherwise(western), "^\ufeff", "")
+
 
+def _text(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+    return spark.read.text(path if isinstance(path, str) else list(path), **options)
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(source_file, line_no, line) of all files, decoded file by file.
+
+def _whole_files(spark: SparkSession, path: str | Sequence[str], limit: int) -> DataFrame:
+    """Records of small files, without any shuffle; a quoted cell may hold line breaks."""
+    files = _text(spark, path, wholetext=True).filter(F.col("_metadata.file_size") <= limit)
+    text = decode_text(F.col("value"), F.is_valid_utf8("value"))
+    # Every record starts with a line break, the first one with an added one.
+    text = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
+    records = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
+    return files.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.posexplode(records).alias("line_no", "line"),
+    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def _blocks_of_lines(raw: DataFrame) -> DataFrame:
+    """Lines of large files. Encoding is one choice per file, so it is aggregated first.
 
     `line_no` is exact in the first block of a file; in later blocks it is the
     byte offset of the block plus the line's index, which keeps the file's order.
+    A quoted cell ends with its line here.
     """
-    raw = _raw_lines(spark, path)
-    blocks = raw.groupBy("source_file", "block").agg(
+    known = raw.groupBy("source_file", "block").agg(
         F.min("seq").alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("ok")
     )
-    files = blocks.groupBy("source_file").agg(F.bool_and("ok").alias("utf8"))
-    known = blocks.select("source_file", "block", "first").join(files, "source_file")
+    files = known.groupBy("source_file").agg(F.bool_and("ok").alias("utf8"))
+    # Written, so that the planner knows its size and need not shuffle the lines.
+    known = stage(known.select("source_file", "block", "first").join(files, "source_file"))
     return raw.join(known, ["source_file", "block"]).select(
         "source_file",
         (F.col("block") + F.col("seq") - F.col("first")).alias("line_no"),
@@ -106,6 +124,26 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def read_lines(
+    spark: SparkSession, path: str | Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES
+) -> DataFrame:
+    """(source_file, line_no, line) of all files, decoded file by file."""
+    large = (
+        _text(spark, path)
+        .filter(F.col("_metadata.file_size") > whole_file_bytes)
+        .select(
+            F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            "value",
+        )
+    )
+    small = _whole_files(spark, path, whole_file_bytes)
+    if large.rdd.getNumPartitions() == 0:
+        return small
+    return small.unionByName(_blocks_of_lines(large))
+
+
 def sniff_delimiter(lines: DataFrame) -> DataFrame:
     """(source_file, delim): the most frequent candidate in the first lines of each file."""
     head = F.col("line_no") < DELIMITER_LINES
@@ -134,11 +172,15 @@ def _split(line: Column, delim: Column) -> Column:
 
 def _parse(line: Column, delim: Column) -> Column:
     """Cells of a line; a quoted cell may hold the delimiter, and "" stands for a quote."""
-    outside_quotes = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    quoted = F.split(line, F.concat(F.lit("\\"), delim, F.lit(outside_quotes)), -1)
+    # Every cell starts with a delimiter, the first one with an added one.
+    cell = F.concat(
+        F.lit("["), delim, F.lit('](([^"'), delim, F.lit("]++|(?<![^"), delim,
+        F.lit(f']){_QUOTED}|")*+)'),
+    )
+    quoted = F.regexp_extract_all(F.concat(delim, line), cell, F.lit(1))
     bare = F.transform(
         quoted,
-        lambda c: F.replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"')),
+        lambda c: F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')),
     )
     return F.when(F.contains(line, F.lit('"')), bare).otherwise(_split(line, delim))
 
@@ -171,14 +213,16 @@ def file_layouts(lines: DataFrame, search_header: bool = True) -> DataFrame:
 
     Without the search the first line is the header.
     """
-    head = lines.filter(F.col("line_no") < HEADER_LINES)
+    # A few lines per file, read by several steps: written once.
+    head = stage(lines.filter(F.col("line_no") < HEADER_LINES))
     delims = sniff_delimiter(head)
     if search_header:
         heads = find_header(head, delims)
     else:
         heads = delims.select("source_file", F.lit(0).cast("bigint").alias("header_line"))
     header = F.transform(_parse(F.col("line"), F.col("delim")), lambda c: F.trim(c))
-    return (
+    # Written, so that the planner knows its size when it joins it to the lines.
+    return stage(
         heads.join(delims, "source_file")
         .join(
             head.select("source_file", F.col("line_no").alias("header_line"), "line"),
@@ -230,10 +274,12 @@ def column_roles(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     def named_like(pattern: str) -> Column:
         return _first_match(
             F.col("header"), lambda h: F.coalesce(h.rlike(pattern), F.lit(False))
-        )
+        ).cast("int")
 
     named = layouts.withColumns({r: named_like(p) for r, p in ROLE_PATTERNS.items()})
     unsure = named.filter((F.col("fecha") == 0) | (F.col("detalle") == 0))
+    if unsure.isEmpty():
+        return named
     cells = (
         statement_rows(lines, unsure.select("source_file", "delim", "header_line", "header"))
         .select("source_file", "header", F.posexplode("cells").alias("pos", "cell"))
@@ -251,7 +297,7 @@ def column_roles(lines: DataFrame, layouts: DataFrame) -> DataFrame:
 
     def role(name: str) -> Column:
         guess = F.coalesce(f"_{name}", F.lit(0))
-        return F.when(F.col(name) > 0, F.col(name)).otherwise(guess).cast("int").alias(name)
+        return F.when(F.col(name) > 0, F.col(name)).otherwise(guess).alias(name)
 
     return named.join(guesses, "source_file", "left").select(
         "source_file",
@@ -260,7 +306,9 @@ def column_roles(lines: DataFrame, layouts: DataFrame) -> DataFrame:
         "header",
         role("fecha"),
         role("detalle"),
-        *[F.col(r).cast("int").alias(r) for r in ("abono", "cargo", "monto")],
+        "abono",
+        "cargo",
+        "monto",
     )
 
 

@@ -58,7 +58,7 @@ def test_a_file_split_over_tasks_keeps_its_order(spark, tmp_path):
     before = spark.conf.get(key)
     spark.conf.set(key, "65536")
     try:
-        lines = statements.read_lines(spark, str(tmp_path))
+        lines = statements.read_lines(spark, str(tmp_path), whole_file_bytes=1000)
         rows = statements.upload_rows(lines).orderBy("line_no").collect()
         blocks = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
     finally:
@@ -68,6 +68,21 @@ def test_a_file_split_over_tasks_keeps_its_order(spark, tmp_path):
     assert len({r.line_no for r in rows}) == n
 
 
+def test_quoted_line_breaks_and_stray_quotes(spark, tmp_path):
+    text = 'fecha;detalle;monto\r\n2024-01-01;"uno\r\ndos; ""tres""";1\n2024-01-02;tubo 5";2\n2024-01-03;x 7";3\n'
+    (tmp_path / "q.csv").write_bytes(text.encode())
+    rows = statements.read_statements(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.detalle, r.monto) for r in rows] == [('uno\ndos; "tres"', 1.0), ('tubo 5"', 2.0), ('x 7"', 3.0)]
+
+
+def test_both_ways_of_reading_agree(spark, folder):
+    def lines(limit):
+        df = statements.read_lines(spark, folder, whole_file_bytes=limit)
+        return sorted((r.source_file, r.line_no, r.line) for r in df.collect() if r.line)
+
+    assert lines(0) == lines(1_000_000)
+
+
 def test_upload_aliases_and_rejected_files(spark, tmp_path):
     (tmp_path / "ok.csv").write_text("Date,Glosa,Importe,categoria\n2024-02-08,Uber,\"1,234.50\",Ocio\n")
     (tmp_path / "parts.csv").write_text("fecha_mov;descripcion larga;monto clp;fraccion_mia\n2024-02-08;x;$ 5;0,5\n")

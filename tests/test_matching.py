@@ -124,7 +124,7 @@ def test_cascade_gives_each_pending_row_one_suggestion(spark):
     history += [(f"t{i}", "dividido", "A" if i < 699 else "B", 10.0) for i in range(1000)]
     history += [("b1", "vacio", "", 10.0)]
     pend = [
-        ("p1", "regla", None, 1.0), ("p2", "dominado", "", 1.0), ("p3", "dividido", "Sin categoría", 10.0),
+        ("p1", "regla", None, 1.0), ("p2", "dominado", None, 1.0), ("p3", "dividido", "Sin categoría", 10.0),
         ("p4", "xyz", None, 1.0), ("p5", "", None, 1.0), ("p6", "vacio", None, 10.0),
     ]
     ledger = ledger_of(spark, history + pend)
