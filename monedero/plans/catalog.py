@@ -565,7 +565,8 @@ def ingest_stream_ledger(spark, sf):
 
 
 def _update_master(spark, sf):
-    m = a.master_orders(spark, sf)
+    """The master job as it runs on a stored master and a standardised batch."""
+    m = stage(a.master_orders(spark, sf))
     columns = [f.name for f in MASTER if f.name in m.columns]
     master = m.filter("estado <> 'O'").select(*columns).withColumn(
         "es_entre_cuentas", F.lit(False)
