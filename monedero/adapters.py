@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monedero.functions import ledger_key, my_share, norm_alnum, norm_cli, norm_db
+from monedero.operators.casting import ledger_value
 from monedero.operators.ingest import default_real
-from monedero.schema import LEDGER_COLUMNS, LEDGER_TYPES, UNCATEGORISED
+from monedero.schema import LEDGER_COLUMNS, UNCATEGORISED
 from monedero.session import stage, tune
 
 
@@ -31,12 +32,7 @@ _FACTS = ("orders", "lineitem", "events", "documents")
 
 def as_ledger(df: DataFrame) -> DataFrame:
     """Project to the ledger schema; absent columns are NULL."""
-    return df.select(
-        *[
-            (F.col(c) if c in df.columns else F.lit(None)).cast(LEDGER_TYPES[c]).alias(c)
-            for c in LEDGER_COLUMNS
-        ]
-    )
+    return df.select(*[ledger_value(df, c) for c in LEDGER_COLUMNS])
 
 
 def _keyed(df: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from monedero.functions import ledger_key, money, norm_db, truthy
 from monedero.functions.text import blank
+from monedero.operators.casting import ledger_value
 from monedero.operators.rules import map_categories
-from monedero.schema import LEDGER_COLUMNS, LEDGER_TYPES
+from monedero.schema import LEDGER_COLUMNS
 from monedero.session import stage
 
 PLACE = ("source_file", "line_no")
@@ -91,12 +92,7 @@ def to_ledger(df: DataFrame) -> DataFrame:
         df = df.withColumnRenamed("fraccion_mia", "fraccion_mia_sugerida")
     if "monto_mio" in df.columns and "monto_mio_estimado" not in df.columns:
         df = df.withColumnRenamed("monto_mio", "monto_mio_estimado")
-    missing = {
-        c: F.lit(None).cast(LEDGER_TYPES[c]) for c in LEDGER_COLUMNS if c not in df.columns
-    }
-    typed = df.withColumns(missing).select(
-        *[F.col(c).cast(LEDGER_TYPES[c]).alias(c) for c in LEDGER_COLUMNS], *PLACE
-    )
+    typed = df.select(*[ledger_value(df, c) for c in LEDGER_COLUMNS], *PLACE)
     return typed.withColumn(
         "monto_real",
         default_real(F.col("monto_real"), F.col("monto_mio_estimado"), F.col("monto")),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from monedero.functions import manual_key, norm_alnum
 from monedero.functions.text import blank
-from monedero.schema import EDITABLE_COLUMNS, LEDGER, LEDGER_COLUMNS, LEDGER_TYPES, UNCATEGORISED
+from monedero.operators.casting import ledger_value
+from monedero.schema import EDITABLE_COLUMNS, LEDGER, LEDGER_COLUMNS, UNCATEGORISED
 
 DRAFT_COLUMNS = ("monto", "categoria", "nota_usuario")
 
@@ -32,7 +33,7 @@ def apply_edits(ledger: DataFrame, edits: DataFrame, order: str = "seq") -> Data
         return ledger
     seq = F.col(order) if order in edits.columns else F.lit(0)
     has_id = "id" in edits.columns
-    values = F.struct(*[F.col(c).cast(LEDGER_TYPES[c]).alias(c) for c in columns])
+    values = F.struct(*[ledger_value(edits, c) for c in columns])
     numbered = edits.withColumns({"_seq": seq, "_new": values})
     keyed = ~blank(F.col("unique_key")) if "unique_key" in edits.columns else F.lit(False)
 
@@ -171,8 +172,7 @@ def manual_rows(entries: DataFrame) -> DataFrame:
             }
         )
     )
-    missing = {c: F.lit(None).cast(LEDGER_TYPES[c]) for c in LEDGER_COLUMNS if c not in rows.columns}
-    rows = rows.withColumns(missing)
+    rows = rows.select("_seq", *[ledger_value(rows, c) for c in LEDGER_COLUMNS])
     first = F.struct("_seq", "detalle", "categoria", "nota_usuario")
     return (
         rows.groupBy("unique_key")

@@ -180,9 +180,8 @@ def rename_category(
     def swap(c: str) -> Column:
         return F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c)).alias(c)
 
-    listed = categories.select(swap("nombre")).unionByName(
-        categories.select(F.lit(new).alias("nombre")).limit(1)
-    )
+    added = categories.sparkSession.createDataFrame([(new,)], "nombre string")
+    listed = categories.select(swap("nombre")).unionByName(added)
     return (
         ledger.withColumn("categoria", swap("categoria")),
         rules.withColumn("categoria", swap("categoria")),

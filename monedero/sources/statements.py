@@ -438,6 +438,10 @@ def upload_rows(lines: DataFrame, date_format: str = "YYYY-MM-DD") -> DataFrame:
         "id": F.coalesce(text("id"), F.col("line_no").cast("string")),
         "detalle": F.coalesce(text("detalle"), F.lit("")),
     }
+    # A column the file has holds text in every row.
+    for c in ("categoria", "nota_usuario"):
+        empty = F.when(F.col("place")[c].isNotNull(), F.lit(""))
+        parsed[c] = F.coalesce(text(c), empty)
     amounts = ("monto", "fraccion_mia_sugerida", "monto_mio_estimado", "monto_real")
     parsed |= {c: amount_app(text(c)) for c in amounts}
     return rows.select(

@@ -111,6 +111,15 @@ def test_edits_by_key_and_id(spark):
     assert got == {"k1": "Y", "k2": None, "k3": None}
 
 
+def test_edit_values_are_read_like_stored_ones(spark):
+    edits = spark.createDataFrame(
+        [("k1", "Si", "x", "7"), ("k2", None, "2.5", None)],
+        "unique_key string, es_gasto string, monto_real string, nota_usuario string",
+    )
+    got = {r.unique_key: (r.es_gasto, r.monto_real, r.nota_usuario) for r in mutate.apply_edits(keys_ledger(spark), edits).collect()}
+    assert got == {"k1": (True, None, "7"), "k2": (None, 2.5, None), "k3": (None, 5.0, None)}
+
+
 def test_delete_without_hit_leaves_no_tombstone(spark):
     ignored, tombs = spark.createDataFrame([], IGNORED), spark.createDataFrame([], TOMBSTONES)
     miss = spark.createDataFrame([("zz",), ("  ",)], "unique_key string")
