@@ -26,11 +26,8 @@ HEADLINE = (
     "monthly_trend",
     "monthly_trend_items",
     "update_master",
-    "merchant_rules_join",
     "standardize",
-    "apply_edits",
     "spend_by_category",
-    "dedup_latest",
 )
 RUNS = 3
 

@@ -15,7 +15,7 @@ from monedero.operators.rules import (
     mark_own_transfers,
 )
 from monedero.schema import MASTER, MatchConfig
-from monedero.session import stage
+from monedero.session import stage, tune
 from monedero.sources import store
 from monedero.sources.statements import read_statements
 
@@ -34,7 +34,7 @@ def run_upload(
     New rows and new ignored entries enter the store in one version.
     """
     ledger, ignored, tombstones, rules = store.load_tables(
-        spark, root, "ledger", "ignored", "tombstones", "rules"
+        tune(spark), root, "ledger", "ignored", "tombstones", "rules"
     )
     raw = read_statements(spark, path, date_format)
     inserted, entries, counts = ing.ingest(raw, ledger, ignored, tombstones, rules, at)
@@ -77,7 +77,7 @@ def run_update_master(
     The master is written once: it feeds its own snapshot and the learning.
     """
     master, _ = update_master(
-        new, store.load_master(spark, root), rules, cfg, master_is_unique=True
+        new, store.load_master(tune(spark), root), rules, cfg, master_is_unique=True
     )
     kept = stage(master)
     store.save_snapshot(kept, root, "master")
