@@ -286,7 +286,7 @@ def merchant_rules(spark: SparkSession) -> DataFrame:
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active category list: the base category and the categories 'Cat0' to 'Cat6' in use."""
     used = ledger_orders(spark, sf_dir).select(F.col("categoria").alias("nombre"))
-    base = used.select(F.lit(UNCATEGORISED).alias("nombre")).limit(1)
+    base = spark.createDataFrame([(UNCATEGORISED,)], "nombre string")
     return stage(used.filter(F.col("nombre").startswith("Cat")).unionByName(base).distinct())
 
 

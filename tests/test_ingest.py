@@ -131,8 +131,8 @@ def test_one_key_in_a_third_of_the_batch(spark):
     """A hot key gives one row, and no stage collects its copies: only minima are kept."""
     sf = "/root/testdata/sf0.001"
     batch = adapters.upload_batch(spark, sf)
-    hot = batch.limit(1).crossJoin(spark.range(1000).select((F.col("id") + 10_000_000).alias("n")))
-    hot = hot.withColumn("line_no", F.col("n")).drop("n")
+    copies = F.sequence(F.lit(10_000_000).cast("bigint"), F.lit(10_000_999).cast("bigint"))
+    hot = batch.limit(1).withColumn("line_no", F.explode(copies))
     rows = ing.to_ledger(ing.compute_keys(ing.force_expense(batch.unionByName(hot))))
     winners = ing.pick_winners(rows, empty(spark, LEDGER))
     assert winners.count() == batch.select("fecha", "detalle_norm", F.abs("monto")).distinct().count()
