@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monedero.llm import langid, licenses, mixing, mtree, quality, warc
+from monedero.llm import langid, licenses, mixing, mtree, neardup, quality, warc
 from monedero.llm.common import Scratch, fold, read
 
 
@@ -37,6 +37,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark), width=4)
+
+
 def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", mtree.quantised("embedding").alias("vector"))
     return mtree.search(rows, rows.where(F.col("vec_id") % 50 == 0))
@@ -63,13 +67,14 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_source_mixing, op6_license_scan, op7_quality, op9_top_k_search, op10_warc)
+    own = (op1_language_id, op2_source_mixing, op6_license_scan, op7_quality, op8_near_duplicates, op9_top_k_search, op10_warc)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_license_scan": licenses.oracle_sql(),
+        "op8_near_duplicates": neardup.oracle_sql(),
         "op9_top_k_search": mtree.oracle_sql(),
         "op10_warc": _WARC_SQL,
     }
