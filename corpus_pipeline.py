@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from monedero.llm import langid
-from monedero.llm.common import Scratch, fold
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+from monedero.llm import decontaminate, langid, mixing, neardup, secret_scan
+from monedero.llm.common import Scratch, fold, read
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; fitted on the labelled fold."""
@@ -16,7 +14,46 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, columns=docs.columns).where(langid.accepted()).select(*docs.columns)
 
 
-STAGES = [("language", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Rows that repeat a doc_id are one document; the one with the smallest columns stays.
+    """
+    groups = neardup.near_duplicates(docs, Scratch(spark), width=5, percent=80)
+    # A group holds few or very many; only the ids that go are looked up.
+    gone = groups.where("not kept").select("doc_id").distinct()
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    once = once.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands, replaced words tolerated."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with confirmed secrets replaced by a mark."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with the number of copies of each."""
+    mixed = mixing.mix(docs, Scratch(spark)).where("copies > 0").select("doc_id", "copies", "taken")
+    return docs.join(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")), "doc_id")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("source_mixing", source_mixing),
+]
 
 #: Fitted models and hashed sketches decide the rows, so no SQL states them.
 ORACLE_SQL = None

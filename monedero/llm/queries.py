@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monedero.llm import langid, licenses, mixing, mtree, neardup, quality, warc
+from monedero.llm import decontaminate, langid, licenses, mixing, mtree, neardup, quality, secret_scan, warc
 from monedero.llm.common import Scratch, fold, read
 
 
@@ -23,6 +23,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -67,7 +76,10 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_source_mixing, op6_license_scan, op7_quality, op8_near_duplicates, op9_top_k_search, op10_warc)
+    own = (
+        op1_language_id, op2_source_mixing, op4_secret_scan, op5_decontamination, op6_license_scan,
+        op7_quality, op8_near_duplicates, op9_top_k_search, op10_warc,
+    )
     return {f.__name__: f for f in own}
 
 
