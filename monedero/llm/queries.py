@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monedero.llm import decontaminate, langid, licenses, mixing, mtree, neardup, quality, secret_scan, warc
+from monedero.llm import decontaminate, langid, licenses, mixing, mtree, neardup, quality, secret_scan, surrogates, warc
 from monedero.llm.common import Scratch, fold, read
 
 
@@ -23,6 +23,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents"), b"registered-query", Scratch(spark))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs))
@@ -77,7 +81,7 @@ FROM m
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_language_id, op2_source_mixing, op4_secret_scan, op5_decontamination, op6_license_scan,
+        op1_language_id, op2_source_mixing, op3_pii_surrogates, op4_secret_scan, op5_decontamination, op6_license_scan,
         op7_quality, op8_near_duplicates, op9_top_k_search, op10_warc,
     )
     return {f.__name__: f for f in own}
