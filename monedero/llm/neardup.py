@@ -38,6 +38,10 @@ INDEXED = 24
 HUB_ROUNDS = 2
 #: Pairs of different components that one value may name before it is ordered last.
 HOT_PAIRS = 300
+#: Earlier values that an entry of an exact prefix carries, so that a pair is met once.
+_EARLIER = 8
+#: Bits of the retained values that the estimate compares.
+_SHORT = 31
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,6 +96,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return picked.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
+def _level(pairs: Column) -> Column:
+    """0 for a value that names few pairs; each doubling beyond that is one level later in the order."""
+    return F.when(pairs > HOT_PAIRS, F.floor(F.log2(pairs / HOT_PAIRS)).cast("int") + 1).otherwise(F.lit(0))
+
+
 def _near_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -137,13 +146,16 @@ class _Search:
     def confirm(self, pairs: DataFrame) -> None:
         """Estimate, then verify candidate pairs (a, b); merge what is linked."""
         pairs = self.scratch.stage(pairs)
-        near = pairs.join(self.sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
-            self.sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
+        # The leading bits keep the order of the values and nearly all differences.
+        short = self.sketch.select("id", "n", F.transform("sketch", lambda v: F.shiftright(v, 63 - _SHORT).cast("int")).alias("s"))
+        near = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a").join(
+            short.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b"
         )
         union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
         both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-        # Small sets are whole in their sketches; else the estimate may fall short by six deviations.
-        least = F.when((F.col("na") <= K) & (F.col("nb") <= K), F.lit(self.percent / 100)).otherwise(self.percent / 100 - 0.3)
+        # The estimate may fall short by six deviations; only whole unions are counted exactly.
+        whole = F.col("na") + F.col("nb") <= K
+        least = F.when(whole, F.lit(self.percent / 100 - 1e-9)).otherwise(self.percent / 100 - 0.3)
         close = self.scratch.stage(
             near.withColumn("u", union).where(both >= least * F.size("u")).select("a", "b")
         )
@@ -180,13 +192,15 @@ class _Search:
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")
         )
         cross = (F.col("all") * F.col("all") - F.col("same")) / 2
-        values = self.scratch.stage(counts.where(cross > 0).select("value", (cross > HOT_PAIRS).alias("hot")))
+        values = self.scratch.stage(counts.where(cross > 0).select("value", _level(cross).alias("level")))
         open_ = self.scratch.stage(entries.join(values, "value"))
-        limit = F.greatest(F.lit(0), F.least(F.lit(4), F.expr("e div 6")))
-        special = self.scratch.stage(
-            open_.where("hot").groupBy("id", "e").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("id").distinct()
-        )
-        plain = open_.where("not hot").join(special, "id", "left_anti")
+        hot = values.where("level > 0")
+        special = self._mostly_hot(hot)
+        if not special.isEmpty():
+            # Their other values may be as common as those that happen to be retained.
+            hot = self.scratch.stage(hot.union(self._hot_within(special)).groupBy("value").agg(F.max("level").alias("level")))
+            special = self._mostly_hot(hot)
+        plain = open_.join(hot, "value", "left_anti").join(special, "id", "left_anti")
         other = plain.select("value", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"), F.col("e").alias("eb"))
         pairs = (
             plain.join(other, "value")
@@ -197,34 +211,60 @@ class _Search:
             .select(F.col("id").alias("a"), "b")
         )
         if not special.isEmpty():
-            pairs = pairs.union(self._special_pairs(special, values.where("hot").select("value")))
+            pairs = pairs.union(self._special_pairs(special, hot))
         self.confirm(pairs.distinct())
 
+    def _mostly_hot(self, hot: DataFrame) -> DataFrame:
+        """Documents of which too few indexed values are left without the hot ones."""
+        limit = F.greatest(F.lit(0), F.least(F.lit(4), F.expr("e div 6")))
+        counts = self.entries.join(hot, "value").groupBy("id", "e").agg(F.count("*").alias("_n"))
+        return self.scratch.stage(counts.where(F.col("_n") > limit).select("id").distinct())
+
+    def _hot_within(self, special: DataFrame) -> DataFrame:
+        """Values of the full sets of `special` that name too many pairs of components."""
+        whole = self.sets.join(special, "id").mapInArrow(_explode_set, "id long, n long, value long")
+        counts = self._with_comp(whole, self.comps).groupBy("value", "comp").agg(F.count("*").alias("c"))
+        counts = counts.groupBy("value").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        cross = (F.col("all") * F.col("all") - F.col("same")) / 2
+        return counts.select("value", _level(cross).alias("level")).where("level > 0")
+
     def _special_pairs(self, special: DataFrame, hot: DataFrame) -> DataFrame:
         """Candidates of documents that share mostly hot values, by exact prefixes."""
-        hot = hot.withColumn("hot", F.lit(True))
-        comps = self.comps if self.comps is not None else None
         whole = self.sets.join(special, "id").mapInArrow(_explode_set, "id long, n long, value long")
         ranked = whole.join(hot, "value", "left").select(
-            "id", "n", F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "value").alias("at")
+            "id", "n", F.struct(F.coalesce("level", F.lit(0)).alias("level"), "value").alias("at")
         )
-        # Both sets share a value among the first n - ceil(t * n) + 1 of either.
+        # Sets over the threshold share a value among the first n - ceil(t * n) + 1 of either.
         length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
         prefix = (
             ranked.groupBy("id", "n")
             .agg(F.sort_array(F.collect_list("at")).alias("all"))
-            .select("id", "n", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("at"))
-            .select(F.col("at.value").alias("value"), "id", "n")
+            .select("id", "n", F.slice("all.value", F.lit(1), length.cast("int")).alias("all"))
+            .select("id", "n", F.slice("all", 1, _EARLIER).alias("early"), F.posexplode("all").alias("place", "value"))
+            .withColumn("early", F.slice("early", F.lit(1), F.least("place", F.lit(_EARLIER))))
+        )
+        prefix = self.scratch.stage(self._with_comp(prefix, self.comps).withColumn("special", F.lit(True)))
+        usual = self._with_comp(self.index.join(special, "id", "left_anti").select("value", "id", "n"), self.comps)
+        usual = usual.join(hot, "value", "left_anti").select(
+            "id", "n", F.expr("cast(array() as array<bigint>)").alias("early"), F.lit(0).alias("place"), "value", "comp",
+            F.lit(False).alias("special"),
         )
-        prefix = self.scratch.stage(self._with_comp(prefix, comps))
-        usual = self._with_comp(self.index.join(special, "id", "left_anti").select("value", "id", "n"), comps)
-        usual = usual.join(hot, "value", "left_anti")
         other = usual.union(prefix.select(*usual.columns))
-        other = other.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("comp_b"))
+        other = other.select("value", *(F.col(c).alias(f"{c}_b") for c in other.columns if c != "value"))
+        # A pair is met at its first common value: what follows there must reach the
+        # overlap that the threshold asks for, and nothing before may be common.
+        need = (F.col("n") + F.col("n_b")) * self.percent / (100 + self.percent) - 1e-6
+        room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
         return (
             prefix.join(other, "value")
-            .where((F.col("id") != F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near_size("n", "nb", self.percent))
-            .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+            .where(
+                (F.col("comp") != F.col("comp_b"))
+                & (~F.col("special_b") | (F.col("id") < F.col("id_b")))
+                & _near_size("n", "n_b", self.percent)
+                & (room >= need)
+                & ~F.arrays_overlap("early", "early_b")
+            )
+            .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
             .distinct()
         )
 
