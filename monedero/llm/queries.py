@@ -63,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     folder = scratch.folder()
     warc.write(read(spark, sf_dir, "pages"), folder)
-    found = warc.pages(warc.records(spark, folder, scratch))
+    found = warc.pages(spark, folder, scratch)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -44,12 +44,13 @@ def write(
     largest key keeps the payload and the others revisit it; rows that share that
     largest key, or that all lack a key, all keep it.
     """
-    tune(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession)
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
         F.col(key).alias("key"), F.regexp_replace(F.col(url), "[\r\n ]", "%20").alias("url"), body.alias("body")
     ).select("*", F.octet_length("body").alias("bytes"), F.sha1(F.encode("body", "UTF-8")).alias("digest"))
-    firsts = (
+    # Written first, so that its size is known: a small table spares the payloads the shuffle.
+    firsts = scratch.stage(
         rows.where(F.col("bytes") >= min_revisit_bytes)
         .groupBy("digest", "bytes")
         .agg(F.max("key").alias("first"), F.count("*").alias("n"))
@@ -88,6 +89,7 @@ def write(
         .option("maxRecordsPerFile", max_records)
         .text(path)
     )
+    scratch.close()
 
 
 def _field(head: str, name: str) -> Column:
@@ -186,13 +188,11 @@ def reachable(marks: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """All records of the archives, whole: file, offset, head, content, block (bytes).
+_AT = ["file", "block", "place"]
 
-    Files that don't begin with a mark, or whose chain breaks, give the records up to
-    there. An empty folder of files gives no rows.
-    """
-    pieces = scratch.stage(segments(spark, path))
+
+def owned(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """(file, block, place, offset, real, owner): every piece with the record it belongs to."""
     marks = scratch.stage(offsets(pieces))
     real = reachable(marks, scratch).withColumn("real", F.lit(True))
     flagged = scratch.stage(marks.join(real, ["file", "offset"], "left"))
@@ -208,23 +208,32 @@ def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     )
     inside = Window.partitionBy("file", "block").orderBy("place")
     own = F.last(F.when(F.col("real"), F.col("offset")), ignorenulls=True).over(inside)
-    owned = scratch.stage(
+    return scratch.stage(
         flagged.join(carried, ["file", "block"], "left")
         .withColumn("owner", F.coalesce(own, F.col("_carried")))
         .select("file", "block", "place", "offset", "real", "owner")
         .where("owner is not null")
     )
-    cut = owned.where("real is null").select("file", "owner").distinct()
-    at = ["file", "block", "place"]
+
+
+def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """All records of the archives, whole: file, offset, head, content, body (bytes after the header).
+
+    Files that don't begin with a mark, or whose chain breaks, give the records up to
+    there. A folder without files gives no rows.
+    """
+    pieces = scratch.stage(segments(spark, path))
+    places = owned(pieces, scratch)
+    cut = places.where("real is null").select("file", "owner").distinct()
     raw = F.col("value").cast("binary")
     whole = (
-        owned.where("real").join(cut, ["file", "owner"], "left_anti")
-        .join(pieces, at)
+        places.where("real").join(cut, ["file", "owner"], "left_anti")
+        .join(pieces, _AT)
         .select("file", "offset", "head", "content", raw.alias("raw"))
     )
     mended = (
-        owned.join(cut, ["file", "owner"], "left_semi")
-        .join(pieces, at)
+        places.join(cut, ["file", "owner"], "left_semi")
+        .join(pieces, _AT)
         .select("file", "owner", "offset", "head", "content", raw.alias("raw"))
         .groupBy("file", "owner")
         .agg(
@@ -240,36 +249,49 @@ def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
             F.expr(f"aggregate(slice(parts, 2, size(parts)), parts[0].raw, (a, p) -> concat(a, binary('{_MARK}'), p.raw))").alias("raw"),
         )
     )
-    return whole.union(mended).select(
-        "file",
-        "offset",
-        "head",
-        "content",
-        F.substring("raw", F.octet_length("head") + F.lit(5), F.col("content").cast("int")).alias("block"),
-    )
+    return whole.union(mended).select("file", "offset", "head", "content", _after_head("raw").alias("body"))
 
 
-def pages(found: DataFrame) -> DataFrame:
-    """What the records say of their pages.
+def _after_head(raw: str) -> Column:
+    return F.substring(raw, F.octet_length("head") + F.lit(5), F.col("content").cast("int"))
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to, and whether the
-    payload that is there has the digest that its header names (`intact`).
-    """
-    http = F.split(F.decode("block", "ISO-8859-1"), _EOL * 2, 2)[0]
+
+def _page(body: Column) -> dict[str, Column]:
+    """What a record (`head` and its `body`) says of its page."""
+    split = F.split(F.decode(body, "ISO-8859-1"), _EOL * 2, 2)
+    http = split[0]
     urn = lambda name: F.regexp_extract(_field("head", name), r"urn:page:(-?\d+)", 1).try_cast("long")
-    body = F.substring(F.col("block"), F.octet_length(F.col("http")) + F.lit(5), F.lit(2**31 - 1))
+    payload = F.substring(body, F.octet_length(http) + F.lit(5), F.lit(2**31 - 1))
     named = F.regexp_extract(_field("head", "WARC-Payload-Digest"), "([0-9a-f]{40})", 1)
-    stored = F.col("record_type") != "revisit"
-    return (
-        found.withColumn("http", http)
-        .withColumn("record_type", _field("head", "WARC-Type"))
-        .withColumn("body", body)
-        .select(
-            urn("WARC-Record-ID").alias("page_id"),
-            F.when(stored, F.octet_length("body")).otherwise(_field("http", "Content-Length").try_cast("long")).cast("long").alias("payload_bytes"),
-            F.when(stored, F.sha1("body")).otherwise(named).alias("payload_digest"),
-            "record_type",
-            F.when(~stored, urn("WARC-Refers-To")).alias("refers_to"),
-            (~stored | (F.sha1("body") == named)).alias("intact"),
+    kind = _field("head", "WARC-Type")
+    stored = kind != "revisit"
+    declared = F.regexp_extract(http, r"(?im)^Content-Length:[ \t]*(\d+)", 1).try_cast("long")
+    return {
+        "page_id": urn("WARC-Record-ID"),
+        "payload_bytes": F.when(stored, F.octet_length(payload).cast("long")).otherwise(declared),
+        "payload_digest": F.when(stored, F.sha1(payload)).otherwise(named),
+        "record_type": kind,
+        "refers_to": F.when(~stored, urn("WARC-Refers-To")),
+        "intact": ~stored | (F.sha1(payload) == named),
+    }
+
+
+def pages(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of every record.
+
+    `intact` tells whether the payload that is there has the digest its header names.
+    Records are described where Spark reads them, and only these few columns move; the
+    bytes themselves are put together only where false marks have cut a record.
+    """
+    body = _after_head("raw")
+    names = list(_page(body))
+    facts = scratch.stage(
+        segments(spark, path).withColumn("raw", F.col("value").cast("binary")).select(
+            *_AT, "len", "head", "content", *(c.alias(n) for n, c in _page(body).items())
         )
     )
+    places = owned(facts, scratch)
+    if places.where("real is null").isEmpty():
+        return places.where("real").join(facts.select(*_AT, *names), _AT).select(*names)
+    found = records(spark, path, scratch)
+    return found.select(*(c.alias(n) for n, c in _page(F.col("body")).items()))
