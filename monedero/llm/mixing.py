@@ -23,7 +23,7 @@ CAP = 2.0
 TOTAL = 1.5
 WEIGHTS = (5, 2, 1)
 #: Documents of one (source, size) cell that are ranked together, in expectation.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 _STEPS = 6
 _MAX_STEPS = 120
 _TOLERANCE = 1e-4
@@ -100,7 +100,7 @@ def solve(cells: DataFrame, sources: DataFrame, scratch: Scratch, cap: float = C
     moments = cells.groupBy("key").agg(
         (F.sum((F.col("size") * F.col("size") * F.col("n")).cast("decimal(38,0)")).cast("double")).alias("_square")
     )
-    scale = F.greatest(F.lit(1.0), F.coalesce(F.col("_square") / F.col("source_size"), F.lit(1.0)))
+    scale = F.greatest(F.lit(1.0), F.coalesce(F.try_divide("_square", "source_size"), F.lit(1.0)))
     state = (
         sources.join(moments, "key")
         .withColumn("scale", scale)
@@ -129,10 +129,10 @@ def _newton(cells: DataFrame, state: DataFrame, kept: list[str], cap: float) ->
     exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     summed = cells.join(state, "key").groupBy(*kept).agg(exact(tokens).alias("_g"), exact(slope).alias("_h"))
     off = F.col("_g") - F.col("target")
-    step = F.col("lam") - off / F.col("_h")
+    step = F.col("lam") - F.try_divide(off, F.col("_h"))
     lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
     hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-    error = F.when(F.col("full") | (F.col("source_size") == 0), 0.0).otherwise(F.abs(off) / F.col("source_size"))
+    error = F.when(F.col("full") | (F.col("source_size") == 0), 0.0).otherwise(F.try_divide(F.abs(off), F.col("source_size")))
     return (
         summed.withColumn("_lo", lo)
         .withColumn("_hi", hi)
