@@ -1,0 +1,218 @@
+"""The training-data operators on small tables, against brute force and edge rows."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from monedero.llm import decontaminate, langid, licenses, mixing, mtree, neardup, quality, secret_scan, surrogates, warc
+from monedero.llm.common import Scratch, plain_words
+
+DOCS = "doc_id long, text string, lang string, source string, kept string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def edge(spark):
+    return docs_of(
+        spark,
+        [
+            (1, None, None, None, "x"), (2, "", "en", None, "x"), (3, "...", None, "a", None),
+            (4, "one two three", "en", "a", "x"), (4, "one two three", "en", "a", "x"), (None, "uno dos", "es", "b", "x"),
+            (5, "word " * 60_000, "en", "b", "x"),
+        ],
+    )
+
+
+def test_langid(spark):
+    rows = [(i, "the cat and the dog " * 3, "en", "s", None) for i in range(20)]
+    rows += [(100 + i, "der hund und die katze " * 3, "de", "s", None) for i in range(20)]
+    docs = docs_of(spark, rows)
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    out = langid.predict(docs, model).join(docs, "doc_id")
+    assert out.where("lang <> lang_pred or score < 0.5 or score > 1").count() == 0
+    got = [(r.lang_pred, r.score) for r in langid.predict(edge(spark), model).collect()]
+    assert [x for x in got if x[0] == "und"] == [("und", 0.0)] * 3 and len(got) == 7
+    assert langid.predict(docs.where("false"), model).count() == 0
+    empty = langid.fit(docs.where("false"))
+    assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
+
+
+def test_langid_slices_agree(monkeypatch):
+    text = "Ab, cd  éf 12 gh " * 50
+    whole = sorted(x for part in langid.ngram_buckets(text) for x in part.tolist())
+    monkeypatch.setattr(langid, "_SLICE", 7)
+    assert sorted(x for part in langid.ngram_buckets(text) for x in part.tolist()) == whole
+
+
+def test_quality(spark):
+    rows = [(i, f"a calm line {i} of text" if i % 2 else f"buy!! now!! {i} $$$", "en", "s", None) for i in range(200)]
+    docs = docs_of(spark, rows)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    weights = quality.fit(docs, labels.where("doc_id < 150"))
+    got = quality.predict(docs, weights).where("doc_id >= 150").collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+    assert quality.predict(edge(spark), weights).where("score between 0 and 1").count() == 7
+    none = quality.fit(docs, labels.where("false"))
+    assert {r.score for r in quality.predict(docs, none).collect()} == {0.5}
+
+
+def brute_components(texts, width):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        take = min(width, len(w))
+        sets[i] = {tuple(w[j : j + take]) for j in range(len(w) - take + 1)} if w else set()
+    root = {i: i for i in texts}
+    while True:
+        before = dict(root)
+        for a in texts:
+            for b in texts:
+                union, both = len(sets[a] | sets[b]), len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * union:
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+@pytest.mark.parametrize("hot_pairs", [300, 2])
+def test_near_duplicates(spark, monkeypatch, hot_pairs):
+    monkeypatch.setattr(neardup, "HOT_PAIRS", hot_pairs)
+    shared = " ".join(f"c{i}" for i in range(40))
+    texts = {0: None, 1: "", 2: "A b", 3: "a  B", 4: "a b c"}
+    for i in range(12):
+        words = [f"w{i}_{j}" for j in range(60)]
+        texts[10 + i] = " ".join(words)
+        texts[40 + i] = " ".join([*words[:30], "new", *words[31:]])
+        texts[70 + i] = shared + " " + " ".join(f"v{i}_{j}" for j in range(i))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, Scratch(spark), width=4).collect()}
+    assert got == brute_components(texts, 4)
+    assert neardup.near_duplicates(docs.where("false"), Scratch(spark)).count() == 0
+    rows = neardup.near_duplicates(edge(spark), Scratch(spark), width=4).collect()
+    assert len(rows) == 7 and sum(r.component_id is None for r in rows) == 1
+
+
+def brute_leaks(texts, items):
+    out = set()
+    for i, t in texts.items():
+        w = plain_words(t)
+        for j, u in items.items():
+            v = plain_words(u)
+            for s in range(-len(v), len(w)):
+                hits = [w[s + k] == v[k] for k in range(len(v)) if 0 <= s + k < len(w)]
+                if v and sum(hits) >= 0.8 * len(v):
+                    out.add((i, j))
+    return out
+
+
+def test_decontamination(spark):
+    item = [f"b{i}" for i in range(20)]
+    near = [w if i not in (3, 9, 15) else "other" for i, w in enumerate(item)]
+    far = [w if i % 3 else "other" for i, w in enumerate(item)]
+    texts = {1: "x y " + " ".join(item).upper() + "!", 2: " ".join(near) + " z", 3: " ".join(far), 4: None, 5: "", 6: "a tiny item here"}
+    items = {7: " ".join(item), 8: "tiny item", 9: "", 10: None}
+    docs = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = brute_leaks(texts, {k: v for k, v in items.items() if v})
+    for block_words in (500_000, 5):
+        got = decontaminate.leaks(docs, bench, block_words=block_words).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(texts) - {i for i, _ in want}
+    assert decontaminate.leaks(docs, bench.where("false")).count() == 0
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (1 + zlib.crc32(str(i).encode()) % 50), None, ("a", "b", None)[i % 3], None) for i in range(300)]
+    docs = docs_of(spark, rows)
+    out = mixing.mix(docs, Scratch(spark)).collect()
+    assert len(out) == 300 and all(r.copies in (0, 1, 2) and r.taken == r.copies * r.size for r in out)
+    for s in ("a", "b", None):
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+    assert abs(sum({r.source: r.target for r in out}.values()) - 1.5 * sum(r.size for r in out)) < 1
+    assert sorted(map(str, mixing.mix(docs, Scratch(spark)).collect())) == sorted(map(str, out))
+    assert {r.size for r in mixing.mix(edge(spark), Scratch(spark)).collect()} == {0, 1, 2, 3, 60_000}
+    assert mixing.mix(docs.where("false"), Scratch(spark)).count() == 0
+
+
+def test_secrets(spark):
+    good = [(i, f'set token = "{zlib.crc32(b"%d" % i):08x}{i:08x}a1b2c3d4e5f60789" now', "en", "s", None) for i in range(30)]
+    bad = [(100 + i, f"call {4000123412340000 + i} or order {i:020d}", "en", "s", None) for i in range(30)]
+    docs = docs_of(spark, good + bad)
+    model = secret_scan.train(docs)
+    got = secret_scan.scan(docs, model).collect()
+    assert all(r.is_secret == (r.doc_id < 100) for r in got) and len(got) >= 60
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()}
+    assert clean[3] == 'set token = "[SECRET]" now' and clean[103] == bad[3][1]
+    assert secret_scan.redact(edge(spark), model).count() == 7
+    assert secret_scan.scan(docs.where("false"), secret_scan.train(docs.where("false"))).count() == 0
+
+
+def test_licenses(spark):
+    body = "Intro\nLicensed under the Apache License, Version 2.0.\nreleased under the mit licence\n" + licenses.TEMPLATES[3][1]
+    docs = docs_of(spark, [(1, body, None, None, None), (2, "All rights reserved.", None, None, None)])
+    got = {(r.doc_id, r.unit_no, r.license_id) for r in licenses.scan(docs).collect() if r.unit == "line"}
+    assert got == {(1, 1, "Apache-2.0"), (1, 3, "MIT"), (2, 0, "reserved")}
+    assert licenses.scan(edge(spark)).count() == 0
+
+
+def test_surrogates(spark):
+    key = b"k"
+    text = "Mr. John Smith (john.smith@mail.example.com) +1 (487) 555-7209, 4111 1111 1111 1111, 10.1.2.3. Smith 192.0.2.7"
+    new, n = surrogates.rewrite(key, text, {})
+    assert n == 8 and not any(x in new for x in ("John", "Smith", "555-7209", "4111", "10.1.2.3", "192.0.2.7", "john"))
+    first, last = new.split()[1:3]
+    assert first in surrogates.GIVEN["latin", "m"] and f" {last} " in new[20:] and new.startswith("Mr. ")
+    assert surrogates._luhn("".join(c for c in new.split(", ")[1].split(".")[0] if c.isdigit()))
+    assert len({surrogates.surrogate(key, "ssn", f"{i:09d}") for i in range(2000)}) == 2000
+    docs = docs_of(spark, [(1, text, None, None, None), (2, "x " + text, None, None, None), (3, None, None, None, None)])
+    got = {r.doc_id: r.text for r in surrogates.replace(docs, key, Scratch(spark)).collect()}
+    assert got == {1: new, 2: "x " + new, 3: None}
+    assert surrogates.replace(edge(spark), key, Scratch(spark)).where("n_entities > 0").count() == 0
+
+
+def test_surrogate_collisions(spark, monkeypatch):
+    plain = surrogates.surrogate
+    taken = lambda key, kind, entity, attempt=0: "same@x.com" if not attempt else plain(key, kind, entity, attempt)
+    mentions = spark.createDataFrame([(1, "email", e, "same@x.com") for e in ("a@b.c", "d@e.f", "g@h.i")], "row long, kind string, entity string, new string")
+    monkeypatch.setattr(surrogates, "surrogate", taken)
+    redrawn = {r.entity for r in surrogates.settle(mentions, b"k", Scratch(spark)).collect()}
+    assert redrawn == {"d@e.f", "g@h.i"}
+
+
+def test_search(spark):
+    rows = [(i, [float((i * 7 + j * 13) % 31 - 15) / 16 for j in range(8)]) for i in range(700)]
+    rows += [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, rows[0][1]), (1004, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    v = frame.select("vec_id", mtree.quantised("embedding").alias("vector"))
+    got = [tuple(r) for r in mtree.search(v, v.where("vec_id % 50 = 0"), query_block=5).orderBy("query_id", "rank").collect()]
+    ints = {i: [int(256 * x // 1) for x in e] for i, e in rows if i < 1000 or i == 1003}
+    want = []
+    for q in sorted(i for i in ints if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], e, strict=True)), i) for i, e in ints.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
+    assert mtree.search(v.where("false"), v.where("false")).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    fake = "<p>WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" + "é" * 1200
+    rows = [(1, "u", fake), (2, None, fake), (3, "u", None), (4, "u", "x"), (5, "u", "x"), (6, "u", "WARC/1."), (None, "u", fake)]
+    rows += [(100 + i, "u", f"page {i} " * 40) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for compression in ("none", "gzip"):
+            folder = str(tmp_path / compression)
+            warc.write(pages, folder, compression=compression)
+            got = {r.page_id: r for r in warc.pages(spark, folder, Scratch(spark)).collect()}
+            assert len(got) == len(rows) and all(r.intact for r in got.values())
+            assert (got[2].record_type, got[1].refers_to, got[None].refers_to) == ("response", 2, 2)
+            assert got[1].payload_digest == got[2].payload_digest and got[1].payload_bytes == len(fake.encode())
+            assert got[4].record_type == got[5].record_type == "response" and got[3].payload_bytes == 0
+            assert warc.records(spark, folder, Scratch(spark)).count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
