@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from monedero.llm.common import batch, tune
 
-PAGE = 64
+PAGE = 256
 FANOUT = 16
 #: Vectors of one tree.
 TREE_ROWS = 8192
