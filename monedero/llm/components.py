@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from monedero.llm.common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(id, root): every vertex of `edges` (a, b) with the smallest id of its component.
 
+    With `rounds`, the search ends after so many: the components are then parts of the
+    whole ones, each still named by the smallest id in it.
+
     Every round points each vertex at the neighbour that comes first in an order
     drawn anew, follows that pointer twice and contracts the graph, so that a
     constant share of the vertices goes in expectation, on chains as on stars. Sums
@@ -20,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     names, round_ = None, 0
-    while not live.isEmpty():
+    while (rounds is None or round_ < rounds) and not live.isEmpty():
         round_ += 1
         order = lambda c: F.struct(F.xxhash64(F.lit(round_), c).alias("h"), c.alias("id"))  # noqa: B023, E731
         ends = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))

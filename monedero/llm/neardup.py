@@ -36,6 +36,8 @@ K = 64
 #: Retained values that are indexed.
 INDEXED = 24
 HUB_ROUNDS = 2
+#: Contractions after a hub round; what they leave apart costs candidates, not links.
+MERGE_ROUNDS = 2
 #: Pairs of different components that one value may name before it is ordered last.
 HOT_PAIRS = 300
 #: Earlier values that an entry of an exact prefix carries, so that a pair is met once.
@@ -143,7 +145,7 @@ class _Search:
             self.entries.join(self.comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
         )
 
-    def confirm(self, pairs: DataFrame) -> None:
+    def confirm(self, pairs: DataFrame, rounds: int | None = None) -> None:
         """Estimate, then verify candidate pairs (a, b); merge what is linked."""
         pairs = self.scratch.stage(pairs)
         # The leading bits keep the order of the values and nearly all differences.
@@ -166,7 +168,7 @@ class _Search:
         new = joined.select("a", "b", "x", "y").mapInArrow(_verifier(self.percent), "a long, b long")
         edges = self.scratch.stage(new if self.edges is None else new.union(self.edges))
         self.scratch.drop(pairs, close)
-        self.edges, self.comps = edges, components(edges, self.scratch)
+        self.edges, self.comps = edges, components(edges, self.scratch, rounds)
 
     def link_to_hubs(self, round_: int) -> None:
         entries = self.named()
@@ -183,7 +185,7 @@ class _Search:
             .select(F.col("id").alias("a"), "b")
             .distinct()
         )
-        self.confirm(pairs)
+        self.confirm(pairs, MERGE_ROUNDS)
 
     def link_rest(self) -> None:
         """Try all pairs of different components that share an indexed value."""
