@@ -6,10 +6,12 @@ hashes. Documents with equal sets are one class, and only classes are compared.
 1. Inverted lists of the first retained values name candidates. A pair that reaches
    the threshold shares nearly all of them, so lists of one document and documents
    that share too few values are done at once.
-2. In a few rounds every list links its members to one hub, drawn anew each round.
+2. In a few rounds every list links its members to a few hubs: of each part of the
+   list, parts drawn anew each round, the document whose values are the most common.
+   In a group of near copies that is one near the middle, which most others reach.
    Overlap counts and the union sketch's estimate filter these pairs, exact Jaccard
    on the full sets confirms them, and the components found so far are merged. A
-   group of n near copies costs n pairs, not n^2.
+   group of n near copies costs a few n pairs, not n^2.
 3. Then every pair of documents of different components that share a value is tried.
    Values that would make too many such pairs (passages that many texts share) are
    ordered behind all others. Documents whose sketch holds several of those are
@@ -36,6 +38,8 @@ K = 64
 #: Retained values that are indexed.
 INDEXED = 24
 HUB_ROUNDS = 2
+#: Hubs of a list in a round.
+HUBS = 4
 #: Contractions after a hub round; what they leave apart costs candidates, not links.
 MERGE_ROUNDS = 2
 #: Pairs of different components that one value may name before it is ordered last.
@@ -125,15 +129,18 @@ class _Search:
         self.index = scratch.stage(
             self.sketch.select("id", "n", F.least("n", F.lit(INDEXED)).cast("int").alias("e"), listed).distinct()
         )
-        shared = self.index.groupBy("value").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        shared = self.index.groupBy("value").agg(F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("_n", "holders")
         entries = scratch.stage(self.index.join(shared, "value"))
         enough = F.greatest(F.lit(1), F.least(F.lit(8), F.expr("e div 3")))
         active = scratch.stage(
-            entries.groupBy("id", "e").agg(F.count("*").alias("_n")).where(F.col("_n") >= enough).select("id").distinct()
+            entries.groupBy("id", "e")
+            .agg(F.count("*").alias("_n"), F.sum("holders").alias("weight"))
+            .where(F.col("_n") >= enough)
+            .select("id", "weight")
         )
-        self.entries = scratch.stage(entries.join(active, "id"))
+        self.entries = scratch.stage(entries.drop("holders").join(active, "id"))
         scratch.drop(entries)
-        self.sets = scratch.stage(full_sets(docs, active, width))
+        self.sets = scratch.stage(full_sets(docs, active.select("id"), width))
         self.edges = None
         self.comps = None
 
@@ -172,8 +179,9 @@ class _Search:
 
     def link_to_hubs(self, round_: int) -> None:
         entries = self.named()
-        hub = F.min(F.struct(F.xxhash64(F.lit(round_), "id").alias("h"), F.col("id"), "comp", "n"))
-        hubs = entries.groupBy("value").agg(hub.alias("hub"))
+        drawn = F.xxhash64(F.lit(round_), "id")
+        hub = F.max(F.struct("weight", drawn.alias("h"), "id", "comp", "n"))
+        hubs = entries.groupBy("value", F.pmod(drawn, F.lit(HUBS)).alias("part")).agg(hub.alias("hub"))
         hubs = hubs.select("value", F.col("hub.id").alias("b"), F.col("hub.comp").alias("comp_b"), F.col("hub.n").alias("nb"))
         enough = F.greatest(F.lit(1), F.least(F.lit(4), F.expr("e div 4")))
         pairs = (
@@ -182,7 +190,7 @@ class _Search:
             .groupBy("id", "e", "b")
             .agg(F.count("*").alias("_n"))
             .where(F.col("_n") >= enough)
-            .select(F.col("id").alias("a"), "b")
+            .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
             .distinct()
         )
         self.confirm(pairs, MERGE_ROUNDS)
