@@ -11,12 +11,12 @@ from monedero.llm.common import Scratch
 def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(id, root): every vertex of `edges` (a, b) with the smallest id of its component.
 
-    With `rounds`, the search ends after so many: the components are then parts of the
-    whole ones, each still named by the smallest id in it.
+    With `rounds`, the search ends after so many: vertices with one root are then surely
+    of one component, others may be too.
 
-    Every round points each vertex at the neighbour that comes first in an order
-    drawn anew, follows that pointer twice and contracts the graph, so that a
-    constant share of the vertices goes in expectation, on chains as on stars. Sums
+    Every round points each vertex at the one that comes first, in an order drawn
+    anew, among its neighbours and theirs, and contracts the graph: a star goes in
+    one round, and of chains a constant share of the vertices in expectation. Sums
     are taken per vertex before the shuffle; no vertex's edges are gathered.
     """
     live = scratch.stage(
@@ -27,11 +27,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) ->
         round_ += 1
         order = lambda c: F.struct(F.xxhash64(F.lit(round_), c).alias("h"), c.alias("id"))  # noqa: B023, E731
         ends = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = scratch.stage(
-            ends.groupBy("a").agg(F.min(F.least(order(F.col("a")), order(F.col("b")))).alias("m")).select("a", F.col("m.id").alias("p"))
-        )
-        again = first.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        point = scratch.stage(first.join(again, "p").select("a", F.col("pp").alias("p")))
+        first = scratch.stage(ends.groupBy("a").agg(F.min(F.least(order(F.col("a")), order(F.col("b")))).alias("m")))
+        # What comes first for a vertex itself also stands before its neighbours.
+        seen = ends.select(F.col("b").alias("_b"), "a").join(first.withColumnRenamed("a", "_b"), "_b")
+        point = scratch.stage(seen.groupBy("a").agg(F.min("m").alias("m")).select("a", F.col("m.id").alias("p")))
         left = point.withColumnRenamed("p", "pa")
         right = point.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         shrunk = scratch.stage(
