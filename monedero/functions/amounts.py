@@ -51,5 +51,13 @@ def amount_sep(c: Column, decimal_sep: str) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Absolute amount as an exact two-decimal number; NULL counts as 0."""
-    return F.abs(F.coalesce(c, F.lit(0.0))).cast(MONEY)
+    """Absolute amount as an exact two-decimal number; NULL counts as 0.
+
+    NULL where the number has more digits than MONEY holds.
+    """
+    return F.abs(F.coalesce(c, F.lit(0.0))).try_cast(MONEY)
+
+
+def money_text(c: Column) -> Column:
+    """`money` as text for keys; a number too large for it keeps its own text."""
+    return F.coalesce(money(c).cast("string"), F.abs(c).cast("string"))

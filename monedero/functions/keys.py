@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from monedero.functions.amounts import money
+from monedero.functions.amounts import money_text
 from monedero.schema import MONEY
 
 
@@ -19,7 +19,7 @@ def _short(digest: Column) -> Column:
 
 def cli_id(fecha: Column, norm: Column, monto: Column) -> Column:
     """Id of a standardised row: date, `norm_cli` text and signed amount."""
-    amount = F.coalesce(monto.cast(MONEY).cast("string"), F.lit("nan"))
+    amount = F.coalesce(monto.try_cast(MONEY).cast("string"), monto.cast("string"), F.lit("nan"))
     return _short(F.sha1(F.concat_ws("|", _iso(fecha), norm, amount)))
 
 
@@ -34,11 +34,11 @@ def ledger_key(
     if fecha_text is not None:
         day = F.coalesce(day, F.trim(fecha_text))
     day = F.coalesce(day, F.lit("NaT"))
-    raw = F.concat_ws("|", day, norm, money(monto_abs).cast("string"))
+    raw = F.concat_ws("|", day, norm, money_text(monto_abs))
     return F.concat(F.lit("k:"), _short(F.sha2(raw, 256)))
 
 
 def manual_key(fecha: Column, monto: Column, norm: Column) -> Column:
     """Key of a manual entry: date, absolute amount, `norm_alnum` text."""
-    raw = F.concat_ws("|", _iso(fecha), money(monto).cast("string"), norm)
+    raw = F.concat_ws("|", _iso(fecha), money_text(monto), norm)
     return F.concat(F.lit("m:"), _short(F.sha1(raw)))

@@ -50,7 +50,10 @@ def compute_keys(df: DataFrame, normalised: bool = False) -> DataFrame:
     base = "monto_cartola" if "monto_cartola" in df.columns else "monto"
     norm = F.col("detalle_norm") if normalised else norm_db(F.col(source))
     keyed = df.withColumns(
-        {"detalle_norm": norm, "monto_cartola": money(F.col(base)).cast("double")}
+        {
+            "detalle_norm": norm,
+            "monto_cartola": F.coalesce(money(F.col(base)).cast("double"), F.abs(base)),
+        }
     )
     key_text = F.when(blank(F.col("detalle_norm")), norm_db(F.col("detalle"))).otherwise(
         F.col("detalle_norm")

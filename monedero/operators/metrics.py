@@ -149,7 +149,7 @@ def ticket_by_category(
     scope: DataFrame, amount: str = "monto", k: int | None = None
 ) -> DataFrame:
     """Mean absolute amount per category, ascending; with `k` only the k greatest."""
-    mean = as_double(F.sum(F.abs(F.col(amount)).cast("decimal(18,2)"))) / F.count(amount)
+    mean = as_double(F.sum(F.abs(F.col(amount)).try_cast("decimal(18,2)"))) / F.count(amount)
     tickets = (
         scope.filter(F.col("categoria").isNotNull())
         .groupBy("categoria")

@@ -145,8 +145,8 @@ def save_diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame
 def manual_rows(entries: DataFrame) -> DataFrame:
     """Manual entries as ledger rows; entries without text or amount are refused.
 
-    The first of several equal entries by `seq` stays. An entry without a date is
-    dated today.
+    The first of several equal entries by `seq` stays. An entry without a
+    readable date is dated today.
     """
     detalle = F.trim("detalle")
     monto = F.abs("monto")
@@ -156,7 +156,7 @@ def manual_rows(entries: DataFrame) -> DataFrame:
         .filter(~blank(detalle) & (monto > 0))
         .select(
             "_seq",
-            F.coalesce(F.col("fecha").cast("date"), F.current_date()).alias("fecha"),
+            F.coalesce(F.col("fecha").try_cast("date"), F.current_date()).alias("fecha"),
             detalle.alias("detalle"),
             monto.alias("monto"),
             norm_alnum(detalle).alias("detalle_norm"),

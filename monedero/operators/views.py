@@ -88,7 +88,7 @@ def date_bounds(df: DataFrame) -> DataFrame:
 
 def table_summary(df: DataFrame) -> DataFrame:
     """Row count, total and mean absolute amount."""
-    amount = F.abs("monto").cast("decimal(18,2)")
+    amount = F.abs("monto").try_cast("decimal(18,2)")
     total = F.sum(amount).cast("double")
     return df.agg(
         F.count(F.lit(1)).alias("transacciones"),

@@ -63,6 +63,17 @@ def test_dates(spark):
         None, d(2026, 2, 25),
     ]
     assert evaluate(spark, texts, fn.date_app) == app
+    free = [
+        "05/03/2024 14:33", "05-03-2024 14:33:10", "5 mar 2024", "05 Jan 2024", "20240305", "05.03.2024 8:05",
+        "5 de marzo de 2024", "March 5, 2024", "05-dic-24", "5/3/24 2:30 pm", "5 marzipan 2024", "20241305", "31 feb 2024",
+    ]
+    read = [
+        d(2024, 3, 5), d(2024, 3, 5), d(2024, 3, 5), d(2024, 1, 5), d(2024, 3, 5), d(2024, 3, 5),
+        d(2024, 3, 5), d(2024, 3, 5), d(2024, 12, 5), d(2024, 3, 5), None, None, None,
+    ]
+    assert evaluate(spark, free, fn.date_app) == read
+    assert evaluate(spark, free, fn.date_cli) == read
+    assert evaluate(spark, ["2024/03/05 10:00"], fn.date_app) == [d(2024, 3, 5)]
     swapped = evaluate(spark, ["2026-08-02", "2026-02-25"], lambda c: fn.date_app(c, "YYYY-DD-MM"))
     assert swapped == [d(2026, 2, 8), d(2026, 2, 25)]
     cli = evaluate(spark, ["05/03/2024", "12/31/2024", "2024-03-05", "31-12-70", "5.3.2024", "2024/03/05"], fn.date_cli)
@@ -109,3 +120,10 @@ def test_keys_match_their_definition(spark):
     assert row.u == "k:" + sha256("NaT|cafe|0.00")
     assert row.m == "m:" + sha1("2024-03-05|12.50|CAFE")
     assert row.c == sha1("2024-03-05|CAFE|-12.50")
+
+
+def test_amounts_beyond_the_exact_type_keep_their_row(spark):
+    values = ["99999999999999999999", "99999999999999999998000", "12.5"]
+    assert evaluate(spark, values, lambda c: fn.money(fn.amount_app(c)).cast("double")) == [None, None, 12.5]
+    keys = evaluate(spark, values, lambda c: fn.ledger_key(F.lit(None).cast("date"), F.lit("x"), fn.amount_app(c)))
+    assert len(set(keys)) == 3 and None not in keys
