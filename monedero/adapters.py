@@ -408,3 +408,23 @@ def upload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("line"),
     )
     return head.unionByName(body)
+
+
+def flawed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One upload file per customer with orders; some lack the amount column, some orders
+    have a cell too many or an amount beyond the exact type."""
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "source_file", F.concat(F.lit("cliente-"), F.col("o_custkey").cast("string"))
+    )
+    header = F.when(F.col("o_custkey") % 5 == 1, "fecha,glosa,saldo").otherwise("fecha,glosa,monto")
+    heads = orders.select("source_file", F.lit(0).cast("bigint").alias("line_no"), header.alias("line")).distinct()
+    huge = F.col("o_orderpriority") == "2-HIGH"
+    line = F.concat_ws(
+        ",",
+        F.lit("2024-01-02"),
+        "o_orderpriority",
+        F.when(huge, "99999999999999999999").otherwise(F.col("o_orderkey").cast("string")),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "sobra"),
+    )
+    rows = orders.select("source_file", F.col("o_orderkey").cast("bigint").alias("line_no"), line.alias("line"))
+    return heads.unionByName(rows.filter("line_no > 0"))

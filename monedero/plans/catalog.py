@@ -65,6 +65,11 @@ def read_statement_files(spark, sf):
     )
 
 
+@query
+def rejected_rows(spark, sf):
+    return statements.rejected_rows(a.flawed_lines(spark, sf))
+
+
 @query
 def decode_files(spark, sf):
     docs = a.table(spark, sf, "documents")

@@ -17,7 +17,10 @@ from monedero.operators.rules import (
 from monedero.schema import MASTER, MatchConfig
 from monedero.session import stage, tune
 from monedero.sources import store
-from monedero.sources.statements import read_statements
+from monedero.sources.statements import read_lines, read_upload
+
+#: Times an upload is computed before it gives way to other writers.
+ATTEMPTS = 5
 
 
 def run_upload(
@@ -31,16 +34,24 @@ def run_upload(
 ) -> dict[str, int]:
     """Read statement files, ingest them into the store under `root`, return the counts.
 
-    New rows and new ignored entries enter the store in one version.
+    New rows, new ignored entries and the input that does not count (`rejected`) enter
+    the store in one version. Where another writer commits meanwhile, the upload is
+    computed again from the newer version.
     """
-    ledger, ignored, tombstones, rules = store.load_tables(
-        tune(spark), root, "ledger", "ignored", "tombstones", "rules"
-    )
-    raw = read_statements(spark, path, date_format)
-    inserted, entries, counts = ing.ingest(raw, ledger, ignored, tombstones, rules, at)
-    numbers = counts.first().asDict()
-    new = {"ledger": inserted, "ignored": entries}
-    store.commit(spark, root, append=new, batch_id=batch_id, source=source)
+    raw, rejected = read_upload(read_lines(tune(spark), path), date_format)
+    for left in reversed(range(ATTEMPTS)):
+        base, (ledger, ignored, tombstones, rules) = store.load_version(
+            spark, root, "ledger", "ignored", "tombstones", "rules"
+        )
+        inserted, entries, counts = ing.ingest(raw, ledger, ignored, tombstones, rules, at)
+        numbers = counts.first().asDict()
+        new = {"ledger": inserted, "ignored": entries, "rejected": rejected}
+        try:
+            store.commit(spark, root, append=new, batch_id=batch_id, source=source, base=base)
+            break
+        except store.Moved:
+            if not left:
+                raise
     return numbers
 
 

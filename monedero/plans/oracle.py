@@ -292,6 +292,17 @@ def oracle_sql() -> dict[str, str]:
     sql["read_statement_files"] = _led(
         f"SELECT fecha, detalle, monto, {_alnum('detalle')} AS detalle_norm FROM led"
     )
+    sql["rejected_rows"] = """
+      SELECT DISTINCT 'cliente-' || o_custkey AS source_file, CAST(NULL AS BIGINT) AS line_no,
+        'missing: monto' AS reason, CAST(NULL AS VARCHAR) AS line
+      FROM orders WHERE o_custkey % 5 = 1
+      UNION ALL
+      SELECT 'cliente-' || o_custkey, CAST(o_orderkey AS BIGINT),
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'too many cells' ELSE 'amount too large' END,
+        '2024-01-02,' || o_orderpriority || ',' ||
+          CASE o_orderpriority WHEN '1-URGENT' THEN o_orderkey || ',sobra' ELSE '99999999999999999999' END
+      FROM orders
+      WHERE o_custkey % 5 <> 1 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey > 0"""
     sql["decode_files"] = (
         "SELECT doc_id, md5(text) AS huella, CAST(length(text) AS INTEGER) AS largo FROM documents"
     )

@@ -70,6 +70,14 @@ TOMBSTONES = T.StructType(
         T.StructField("deleted_at", T.TimestampType()),
     ]
 )
+REJECTED = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("line_no", T.LongType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("line", T.StringType()),
+    ]
+)
 EXACT_RULES = T.StructType(
     [
         T.StructField("detalle_norm", T.StringType()),

@@ -21,6 +21,7 @@ from monedero.functions import (
     date_cli,
     flag_shared,
     flag_transfer,
+    money,
     my_share,
     norm_alnum,
     norm_cli,
@@ -237,11 +238,8 @@ def file_layouts(lines: DataFrame, search_header: bool = True) -> DataFrame:
     )
 
 
-def statement_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
-    """(source_file, line_no, header, cells, …) of the lines below each header.
-
-    Blank lines are left out, and so are lines with more cells than the header.
-    """
+def _rows_of_any_width(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """The lines below each header that are not blank, with their layout and `cells`."""
     width = F.size("header")
     cells = F.filter(
         F.transform(
@@ -253,11 +251,18 @@ def statement_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
         lines.join(layouts, "source_file")
         .filter((F.col("line_no") > F.col("header_line")) & (F.trim("line") != ""))
         .withColumn("cells", F.transform(cells, lambda s: F.nullif(s["c"], F.lit(""))))
-        .filter(F.size("cells") <= width)
-        .drop("line", "delim", "header_line")
     )
 
 
+def statement_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(source_file, line_no, header, cells, …) of the lines below each header.
+
+    Blank lines are left out, and so are lines with more cells than the header.
+    """
+    rows = _rows_of_any_width(lines, layouts).filter(F.size("cells") <= F.size("header"))
+    return rows.drop("line", "delim", "header_line")
+
+
 def _first_match(header: Column, test) -> Column:
     """1-based place of the first header cell that passes, 0 for none."""
     return F.array_position(F.transform(header, test), F.lit(True))
@@ -423,7 +428,14 @@ def upload_rows(lines: DataFrame, date_format: str = "YYYY-MM-DD") -> DataFrame:
     Files without a date, description or amount column give no rows; see
     `rejected_files`.
     """
-    layouts = upload_columns(file_layouts(lines, search_header=False))
+    return _upload_rows(lines, _upload_layouts(lines), date_format)
+
+
+def _upload_layouts(lines: DataFrame) -> DataFrame:
+    return upload_columns(file_layouts(lines, search_header=False))
+
+
+def _upload_rows(lines: DataFrame, layouts: DataFrame, date_format: str) -> DataFrame:
     rows = statement_rows(lines, layouts.filter(_complete()))
 
     def text(field: str) -> Column:
@@ -456,14 +468,48 @@ def _complete() -> Column:
     return ok
 
 
+def _missing() -> Column:
+    names = [F.when(F.col("place")[c].isNull(), F.lit(c)) for c in sorted(REQUIRED_FIELDS)]
+    return F.filter(F.array(*names), lambda c: c.isNotNull())
+
+
 def rejected_files(lines: DataFrame) -> DataFrame:
     """(source_file, missing): upload files that lack a required column."""
-    layouts = upload_columns(file_layouts(lines, search_header=False))
-    missing = F.filter(
-        F.array(*[F.when(F.col("place")[c].isNull(), F.lit(c)) for c in sorted(REQUIRED_FIELDS)]),
-        lambda c: c.isNotNull(),
+    layouts = _upload_layouts(lines)
+    return layouts.filter(~_complete()).select("source_file", _missing().alias("missing"))
+
+
+def _rejected_rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    files = layouts.filter(~_complete()).select(
+        "source_file",
+        F.lit(None).cast("bigint").alias("line_no"),
+        F.concat(F.lit("missing: "), F.array_join(_missing(), ", ")).alias("reason"),
+        F.lit(None).cast("string").alias("line"),
+    )
+    amount = amount_app(F.get("cells", F.col("place")["monto"] - 1))
+    reason = F.when(F.size("cells") > F.size("header"), "too many cells").when(
+        amount.isNotNull() & money(amount).isNull(), "amount too large"
     )
-    return layouts.filter(~_complete()).select("source_file", missing.alias("missing"))
+    rows = _rows_of_any_width(lines, layouts.filter(_complete())).withColumn("reason", reason)
+    return files.unionByName(
+        rows.filter(F.col("reason").isNotNull()).select("source_file", "line_no", "reason", "line")
+    )
+
+
+def rejected_rows(lines: DataFrame) -> DataFrame:
+    """(source_file, line_no, reason, line) of upload input that does not count.
+
+    A file without a required column is one row without line; a line with more cells
+    than the header gives no movement; a line whose amount exceeds the exact type
+    gives one that counts in no exact sum.
+    """
+    return _rejected_rows(lines, _upload_layouts(lines))
+
+
+def read_upload(lines: DataFrame, date_format: str = "YYYY-MM-DD") -> tuple[DataFrame, DataFrame]:
+    """(raw upload rows, rejected input) of statement lines, with one look at the layouts."""
+    layouts = _upload_layouts(lines)
+    return _upload_rows(lines, layouts, date_format), _rejected_rows(lines, layouts)
 
 
 def read_statements(

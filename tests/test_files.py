@@ -169,8 +169,56 @@ def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
     stale = store._latest(spark, root)
     store.commit(spark, root, append={"rules": rules})
     monkeypatch.setattr(store, "_latest", lambda *_: stale)
-    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+    with pytest.raises(store.Moved, match="already exists"):
         store.commit(spark, root, append={"rules": rules})
     monkeypatch.undo()
     assert store.version(spark, root) == 2
     assert store.load_tables(spark, root, "rules")[0].count() == 2
+
+
+def test_result_of_an_older_version_is_refused(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rules = spark.createDataFrame([("a", "b")], "detalle_norm string, categoria string")
+    base, _ = store.load_version(spark, root, "rules")
+    assert store.commit(spark, root, append={"rules": rules}, base=base) == 1
+    with pytest.raises(store.Moved, match="from version 0"):
+        store.commit(spark, root, append={"rules": rules}, base=base)
+    assert store.load_tables(spark, root, "rules")[0].count() == 1
+
+
+def test_two_uploads_from_one_version_keep_each_key_once(spark, tmp_path, monkeypatch):
+    """The second writer commits while the first computes; the first computes again."""
+    root, file = str(tmp_path / "store"), tmp_path / "x.csv"
+    file.write_text("fecha,glosa,monto\n2024-01-02,cafe,10\n2024-01-03,pan,20\n")
+    real, other = store.commit, []
+
+    def commit(*args, **kwargs):
+        if not other:
+            other.append(True)
+            other.append(jobs.run_upload(spark, str(file), root))
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(store, "commit", commit)
+    counts = jobs.run_upload(spark, str(file), root)
+    assert other[1]["insertadas"] == 2 and counts["insertadas"] == 0 and counts["duplicadas"] == 2
+    assert store.version(spark, root) == 2
+    assert store.load_ledger(spark, root).count() == 2
+
+
+def test_upload_stores_what_it_rejects(spark, tmp_path):
+    root, folder = str(tmp_path / "store"), tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(
+        "fecha,glosa,monto\n2024-01-02,cafe,1,234.50\n2024-01-02,te,99999999999999999999\n2024-01-03,pan,20\n"
+    )
+    (folder / "b.csv").write_text("fecha,glosa,saldo\n2024-01-02,cafe,1\n")
+    assert jobs.run_upload(spark, str(folder), root)["insertadas"] == 2
+    got = {
+        (name_of(r), r.line_no, r.reason, r.line)
+        for r in store.load_tables(spark, root, "rejected")[0].collect()
+    }
+    assert got == {
+        ("a.csv", 1, "too many cells", "2024-01-02,cafe,1,234.50"),
+        ("a.csv", 2, "amount too large", "2024-01-02,te,99999999999999999999"),
+        ("b.csv", None, "missing: monto", None),
+    }
