@@ -81,11 +81,15 @@ _RECORD = rf'\n((?:[^\n"]++|(?<![^;,\t|\n]){_QUOTED}|")*+)'
 
 
 def decode_text(value: Column, is_utf8: Column) -> Column:
-    """Bytes to text: UTF-8, else Windows-1252; a byte-order mark is dropped."""
+    """Bytes of a file to text: UTF-8, else Windows-1252; a leading byte-order mark is dropped."""
+    return F.regexp_replace(_decoded(value, is_utf8), "^\ufeff", "")
+
+
+def _decoded(value: Column, is_utf8: Column) -> Column:
     western = F.translate(
         F.decode(value.cast("binary"), "ISO-8859-1"), _CP1252, _CP1252_TEXT
     )
-    return F.regexp_replace(F.when(is_utf8, value).otherwise(western), "^\ufeff", "")
+    return F.when(is_utf8, value).otherwise(western)
 
 
 def _text(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
@@ -118,10 +122,13 @@ def _blocks_of_lines(raw: DataFrame) -> DataFrame:
     files = known.groupBy("source_file").agg(F.bool_and("ok").alias("utf8"))
     # Written, so that the planner knows its size and need not shuffle the lines.
     known = stage(known.select("source_file", "block", "first").join(files, "source_file"))
+    line_no = F.col("block") + F.col("seq") - F.col("first")
+    how = F.col("value"), F.col("utf8")
     return raw.join(known, ["source_file", "block"]).select(
         "source_file",
-        (F.col("block") + F.col("seq") - F.col("first")).alias("line_no"),
-        decode_text(F.col("value"), F.col("utf8")).alias("line"),
+        line_no.alias("line_no"),
+        # Only the start of a file can hold a byte-order mark.
+        F.when(line_no == 0, decode_text(*how)).otherwise(_decoded(*how)).alias("line"),
     )
 
 

@@ -222,3 +222,10 @@ def test_upload_stores_what_it_rejects(spark, tmp_path):
         ("a.csv", 2, "amount too large", "2024-01-02,te,99999999999999999999"),
         ("b.csv", None, "missing: monto", None),
     }
+
+
+def test_only_the_first_line_loses_a_byte_order_mark(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes("\ufefffecha;monto\n\ufeffuno;1\n".encode())
+    for limit in (0, 1 << 20):
+        got = statements.read_lines(spark, str(tmp_path / "x.csv"), limit).orderBy("line_no").collect()
+        assert [r.line for r in got if r.line] == ["fecha;monto", "\ufeffuno;1"], limit
