@@ -1,8 +1,9 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
-Candidates are long tokens with a digit. Their features are column expressions:
-length, transitions between character classes, dictionary coverage, the path they
-come from and the words around them. The forest (Spark's own, on DataFrames) is
+Candidates are long tokens with a digit, keys of a known shape, and values of any
+length and form assigned to something named like a secret. Their features are column
+expressions: length, transitions between character classes, dictionary coverage, the
+path they come from and the words around them. The forest (Spark's own, on DataFrames) is
 trained on a bounded, repeatable sample of labelled findings. No Python runs on
 the executors; the text of documents without a candidate is never shuffled.
 """
@@ -19,20 +20,52 @@ from pyspark.sql import functions as F
 
 from monedero.llm.common import sampled, tune
 
-#: A token of at least 16 characters with a digit among its first 257.
-CANDIDATE = r"\b(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+# Names of secrets, alone or as a part of an identifier: DB_PASSWORD, client_secret, accessToken.
+_NAMES = (
+    r"(?:(?:^|(?<=[^A-Za-z0-9]))(?:auth(?:orization)?|bearer|pwd|passwd|access[_-]?key|private[_-]?key)"
+    r"|token|secret|passw(?:or)?d|passwd|passphrase|api[_-]?key|(?<=[_a-z0-9-])(?:access|private)[_-]?key|credential)s?"
+)
+# What follows a name in its identifier; a count, type or place of a secret is none.
+_REST = (
+    r"(?![_-]?(?:count|types?|ur[il]|path|file|name|len|length|min|max|expir\w*|ttl|limit|policy|at|in)(?![A-Za-z0-9]))"
+    r"(?:[_-][A-Za-z0-9_-]{0,32}|(?:key|id|value)(?![A-Za-z0-9]))?"
+)
+_ASSIGNED = rf"(?i:{_NAMES}{_REST})[\"'`\]]{{0,2}}[ \t]{{0,4}}(?:=>|:=|[=:])[ \t]{{0,4}}"
+_SCHEME = r"(?:(?i:basic|bearer|token)[ \t]{1,2})?"
+#: Keys that are known by their shape alone.
+SHAPES = (
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}"
+    r"|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_[A-Za-z0-9_]{16,}"
+    r"|sk-(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])"
+)
+_LONG = r"\b(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+# The short look-behinds come first: they spare nearly all places the long one.
+_VALUE = (
+    rf"(?<=[\"'`])(?<=[=:>][ \t]{{0,4}}[\"'`])(?<={_ASSIGNED}[\"'`])[^\"'`\r\n]+(?=[\"'`])"
+    rf"|(?<=[=:> \t])(?<=[=:>][ \t]{{0,4}}{_SCHEME})(?<={_ASSIGNED}{_SCHEME})(?!(?i:basic|bearer|token)[ \t])[^\s\"'`=:>]\S*?(?=[\"'`,;.)\]}}]*(?:\s|$))"
+)
+#: A key of a known shape, a value assigned to a secret's name, or a token of at least
+#: 16 characters with a digit among its first 257.
+CANDIDATE = f"{SHAPES}|{_VALUE}|{_LONG}"
 MARK = "[SECRET]"
 #: Findings the forest is fitted on, and documents its dictionary comes from, in expectation.
 MAX_FINDINGS = 20_000
 DICTIONARY_DOCS = 2_000
 DICTIONARY_WORDS = 500
 TREES, DEPTH = 20, 6
-_NAMES = "token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+_NAMED = rf"(?i:{_NAMES}{_REST})\W{{1,12}}{_SCHEME}$"
+# Text that stands for a value: a placeholder, a word of a type or schema, a call or a reference.
+_STAND_IN = (
+    r"(?i)^(?:<.*|\$\{.*|\{\{.*|%\w+%|\*+|x{3,}|null|none|nil|true|false|undefined|str|string|text|required|optional|yes|no"
+    r"|[a-z_][\w.]*[(\[].*|(?:os|process|env|self|this|config|settings|request)\..*|\$[a-z_]+)$"
+)
 _PLAIN_THINGS = "sha|hash|commit|checksum|digest|uuid|example|sample|dummy|card|phone|order|invoice|isbn|id"
 _TEST_PATHS = "test|example|sample|mock|fixture|doc"
 FEATURES = (
     "length", "changes", "digits", "upper", "distinct", "hex", "numeric", "coverage",
-    "path_test", "named", "assigned", "quoted", "plain_thing", "words_before",
+    "path_test", "named", "assigned", "quoted", "plain_thing", "words_before", "shaped",
 )
 
 
@@ -43,21 +76,19 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path
     around = F.transform(
         F.split("text", CANDIDATE, -1), lambda g: F.struct(F.right(g, F.lit(60)).alias("b"), F.left(g, F.lit(30)).alias("a"))
     )
-    zipped = F.element_at(
-        F.transform(
-            F.array(around),
-            lambda g: F.zip_with(
-                F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
-                F.zip_with(
-                    F.slice(g, F.lit(1), F.size(g) - 1),
-                    F.slice(g, F.lit(2), F.size(g) - 1),
-                    lambda x, y: F.struct(x["b"].alias("b"), y["a"].alias("a")),
-                ),
-                lambda v, c: F.struct(v.alias("v"), c["b"].alias("b"), c["a"].alias("a")),
-            ),
-        ),
-        1,
-    )
+    values = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+
+    def zip_up(x: Column) -> Column:
+        n = F.size(x["values"])
+        # A candidate that stands right before is part of the text before.
+        earlier = F.slice(F.concat(F.array(F.lit("")), x["values"]), F.lit(1), n)
+        before = F.zip_with(
+            F.slice(x["around"], F.lit(1), n), earlier, lambda g, v: F.right(F.concat(F.right(v, F.lit(60)), g["b"]), F.lit(60))
+        )
+        context = F.zip_with(before, F.slice(x["around"], F.lit(2), n), lambda b, g: F.struct(b.alias("b"), g["a"].alias("a")))
+        return F.zip_with(x["values"], context, lambda v, c: F.struct(v.alias("v"), c["b"].alias("b"), c["a"].alias("a")))
+
+    zipped = F.element_at(F.transform(F.array(F.struct(around.alias("around"), values.alias("values"))), zip_up), 1)
     return (
         rows.where(F.col("text").rlike(CANDIDATE))
         .select("doc_id", "path", F.posexplode(zipped).alias("nth", "x"))
@@ -88,11 +119,12 @@ def features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "numeric": flag(value.rlike("^[0-9_+/-]+$")),
         "coverage": F.length(F.array_join(known, "")).cast("double") / n,
         "path_test": flag(F.col("path").rlike(f"(?i){_TEST_PATHS}")),
-        "named": flag(before.rlike(rf"(?i)\b(?:{_NAMES})\W{{1,12}}$")),
+        "named": flag(before.rlike(_NAMED)),
         "assigned": flag(before.rlike(r"[=:]\W{0,6}$")),
         "quoted": flag(before.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "plain_thing": flag(before.rlike(rf"(?i)\b(?:{_PLAIN_THINGS})\b")),
         "words_before": F.size(F.split(F.trim(before), r"\s+")).cast("double"),
+        "shaped": flag(value.rlike(SHAPES)),
     }
     return found.withColumns(columns)
 
@@ -111,12 +143,20 @@ def dictionary(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> l
 def weak_labels(found: DataFrame) -> DataFrame:
     """Findings labelled by rule where no reviewed labels exist.
 
-    1: the token is the value of something named like a secret and has at least eight
-    distinct characters. 0: all others.
+    1: the token has the shape of a known key; or it is the value of something named like a
+    secret and either a long token with at least eight distinct characters, or assigned, of
+    at least four distinct characters, no stand-in, and quoted, set by a tight `=`, or mixed of
+    letters and others. 0: all others.
     """
-    named = F.col("before").rlike(rf"(?i)\b(?:{_NAMES})\W{{1,12}}$")
-    rich = F.size(F.array_distinct(F.split("value", ""))) >= 8
-    return found.withColumn("label", F.coalesce(named & rich, F.lit(False)).cast("int"))
+    value, before = F.col("value"), F.col("before")
+    distinct = F.size(F.array_distinct(F.split("value", "")))
+    quoted = before.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")
+    tight = before.rlike(r"[A-Za-z0-9_]=$") & ~value.rlike(rf"(?i){_NAMES}")
+    mixed = value.rlike("[A-Za-z]") & value.rlike(r"[0-9]|[^A-Za-z0-9_.,-]|[a-z][A-Z]")
+    bare = ~value.rlike(r"\s") | before.rlike("=[ \t]*[\"'`]$")
+    short = before.rlike(rf"[=:>]\W{{0,6}}{_SCHEME}$") & (distinct >= 4) & ~value.rlike(_STAND_IN) & (quoted & bare | tight | mixed & bare)
+    secret = value.rlike(SHAPES) | before.rlike(_NAMED) & (value.rlike(f"^(?:{_LONG})$") & (distinct >= 8) | short)
+    return found.withColumn("label", F.coalesce(secret, F.lit(False)).cast("int"))
 
 
 @dataclass
@@ -124,13 +164,16 @@ class Model:
     forest: RandomForestClassificationModel | None
     constant: float
     words: list[str]
+    #: Whether the labels came from the rule; then what the rule calls a secret is one,
+    #: however rare its form was among the findings the forest saw.
+    by_rule: bool = False
 
 
 def _vector() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
 
 
-def fit(labelled: DataFrame, words: list[str], *, max_findings: int = MAX_FINDINGS) -> Model:
+def fit(labelled: DataFrame, words: list[str], *, max_findings: int = MAX_FINDINGS, by_rule: bool = False) -> Model:
     """Train on labelled findings (`candidates` with an int `label`).
 
     Where only one label occurs there is nothing to learn, and every finding gets it;
@@ -139,28 +182,32 @@ def fit(labelled: DataFrame, words: list[str], *, max_findings: int = MAX_FINDIN
     rows = labelled.where("label in (0, 1) and value is not null")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return Model(None, float(next(iter(counts), 1)), words)
+        return Model(None, float(next(iter(counts), 1)), words, by_rule)
     rates = {k: min(1.0, max_findings / 2 / n) for k, n in counts.items()}
     rate = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     train = features(rows.where(sampled(rate, "doc_id", "nth", "value")), words)
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False
     ).fit(_vector().transform(train).select("_features", F.col("label").cast("double").alias("label")))
-    return Model(forest, 0.0, words)
+    return Model(forest, 0.0, words, by_rule)
 
 
 def score(found: DataFrame, model: Model) -> DataFrame:
     """`found` with `score`, the forest's share of votes for a secret."""
+    kept = [F.col(c) for c in found.columns]
     if model.forest is None:
-        return found.withColumn("score", F.lit(model.constant))
-    kept = found.columns
-    voted = model.forest.transform(_vector().transform(features(found, model.words)))
-    return voted.select(*kept, vector_to_array("probability")[1].alias("score"))
+        votes, voted = F.lit(model.constant), found
+    else:
+        votes, voted = vector_to_array("probability")[1], model.forest.transform(_vector().transform(features(found, model.words)))
+    if model.by_rule:
+        voted = weak_labels(voted)
+        votes = F.greatest(votes, F.col("label").cast("double"))
+    return voted.select(*kept, votes.alias("score"))
 
 
 def train(docs: DataFrame) -> Model:
     """A model for `docs` trained on its own findings, labelled by rule."""
-    return fit(weak_labels(candidates(docs)), dictionary(docs))
+    return fit(weak_labels(candidates(docs)), dictionary(docs), by_rule=True)
 
 
 def scan(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -179,6 +226,12 @@ def scan(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def _whole(value: Column) -> Column:
+    """A pattern of the value where it is no part of a longer word."""
+    quoted = F.regexp_replace(value, r"(\p{Punct})", r"\\$1")
+    return F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
+
+
 def redact(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """All documents, with confirmed secrets replaced by a mark.
 
@@ -193,7 +246,7 @@ def redact(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     )
     joined = docs.where(having).join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(
-        F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(MARK)))
+        F.aggregate("_secrets", F.col("text"), lambda t, s: F.regexp_replace(t, _whole(s["value"]), F.lit(MARK)))
     )
     changed = joined.withColumn("text", text).select(*docs.columns)
     return docs.where(~having).union(changed)
