@@ -50,9 +50,9 @@ _VALUE = (
 #: 16 characters with a digit among its first 257.
 CANDIDATE = f"{SHAPES}|{_VALUE}|{_LONG}"
 MARK = "[SECRET]"
-#: Findings the forest is fitted on, and documents its dictionary comes from, in expectation.
+#: Findings the forest is fitted on, in expectation.
 MAX_FINDINGS = 20_000
-DICTIONARY_DOCS = 2_000
+#: Size of the dictionary its feature `coverage` looks words up in.
 DICTIONARY_WORDS = 500
 TREES, DEPTH = 20, 6
 _NAMED = rf"(?i:{_NAMES}{_REST})\W{{1,12}}{_SCHEME}$"
@@ -129,13 +129,9 @@ def features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     return found.withColumns(columns)
 
 
-def dictionary(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[str]:
-    """The most frequent words of at least three letters in a bounded sample of documents."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rate = min(1.0, DICTIONARY_DOCS / max(1, rows.count()))
-    words = rows.where(sampled(F.lit(rate), "doc_id", seed=17)).select(
-        F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")
-    )
+def dictionary(docs: DataFrame, *, text: str = "text") -> list[str]:
+    """The most frequent words of at least three letters in all documents."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("word"))
     top = words.where(F.length("word") > 2).groupBy("word").count().orderBy(F.desc("count"), "word")
     return [r["word"] for r in top.limit(DICTIONARY_WORDS).collect()]
 

@@ -151,6 +151,12 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.where("false"), secret_scan.train(docs.where("false"))).count() == 0
 
 
+def test_dictionary_counts_all_documents(spark):
+    rows = [(None, "zebra " * 9, None, "s", None), (-1, "quince " * 8, None, "s", None)]
+    rows += [(i, "plain words here", None, "s", None) for i in range(4)] + [(i, "x", None, "s", None) for i in range(5000)]
+    assert secret_scan.dictionary(docs_of(spark, rows)) == ["zebra", "quince", "here", "plain", "words"]
+
+
 SECRET_FORMS = {
     "GITHUB_TOKEN=0123456789abcdef0123": "0123456789abcdef0123", "export DB_PASSWORD=hunter2x": "hunter2x",
     'client_secret: "q7Lm2Zp9"': "q7Lm2Zp9", "x&access_token=abcd1234efgh5678ijkl": "abcd1234efgh5678ijkl",
