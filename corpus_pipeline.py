@@ -14,21 +14,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, columns=docs.columns).where(langid.accepted()).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """`docs` written once with `_row`, a key of every row: doc_id may repeat or be null."""
+    return scratch.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+    """One row of each group of near-duplicates: five-word shingles, similarity 0.8.
 
-    Rows that repeat a doc_id are one document; the one with the smallest columns stays.
+    Texts alone decide what is a near copy, so rows of one doc_id with unlike texts and rows
+    without doc_id stay. The row with the smallest doc_id stays, null last.
     """
-    groups = neardup.near_duplicates(docs, Scratch(spark), width=5, percent=80)
-    # A group holds few or very many; only the ids that go are looked up.
-    gone = groups.where("not kept").select("doc_id").distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    once = once.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    scratch = Scratch(spark)
+    rows = _keyed(docs, scratch)
+    groups = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), Scratch(spark), width=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns), F.col("_row")).alias("order")
+    first = (
+        rows.select("_row", order)
+        .join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+        .groupBy("component_id")
+        .agg(F.min("order").alias("order"))
+        .select("order._row")
+    )
+    # Few or very many rows go; only their keys are looked up.
+    gone = scratch.stage(rows.select("_row").join(first, "_row", "left_anti"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +52,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with the number of copies of each."""
-    mixed = mixing.mix(docs, Scratch(spark)).where("copies > 0").select("doc_id", "copies", "taken")
-    return docs.join(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")), "doc_id")
+    """The rows the mix takes, with the number of copies of each."""
+    scratch = Scratch(spark)
+    # Equal rows are drawn alike, whatever their keys; empty ones, which are never taken, are spread.
+    empty = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.col("_row"))
+    rows = _keyed(docs, scratch)
+    mixed = mixing.mix(rows.withColumn("_draw", F.xxhash64(*docs.columns, empty)), scratch, key="_row", draw="_draw")
+    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("_row"), "copies", "taken")
+    return rows.join(taken, "_row").select(*docs.columns, "copies", "taken")
 
 
 STAGES = [

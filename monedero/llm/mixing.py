@@ -191,6 +191,7 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    draw: str | None = None,
     weights: DataFrame | None = None,
     pattern: tuple[int, ...] = WEIGHTS,
     total: float = TOTAL,
@@ -198,15 +199,19 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
+    `draw` names the column whose hash deals the copies, else the key does.
     `weights` (source, weight) overrides the repeating `pattern`; a source without a
     weight gets none of the mix. Null is a source of its own. Documents without
     words take no copies. Repeated documents are mixed one by one; an empty table
     gives no rows. Other columns of `docs` play no part.
     """
     rows = scratch.stage(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size")).withColumn(
-            "key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-        )
+        docs.select(
+            F.col(key).alias("doc_id"),
+            F.col(source).alias("source"),
+            words(text).alias("size"),
+            *([F.col(draw).alias("draw")] if draw else []),
+        ).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     )
     cells = scratch.stage(rows.groupBy("key", "size").agg(F.count("*").alias("n")))
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
@@ -225,7 +230,7 @@ def mix(
         .withColumn("parts", F.ceil(F.col("n") / CELL_ROWS))
     )
     # A document's rank in its cell: its rank in a part of the cell after the parts before.
-    hashed = F.xxhash64(F.lit(3), F.col("doc_id"))
+    hashed = F.xxhash64(F.lit(3), F.col("draw" if draw else "doc_id"))
     dealt = rows.join(plan, ["key", "size"]).withColumn("part", F.pmod(hashed, F.col("parts")))
     in_cell = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
