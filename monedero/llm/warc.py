@@ -5,7 +5,8 @@ read in parallel; each mark with a readable header is a candidate that names the
 offset of its successor. Inside a block the chains are followed in one task, which
 leaves one hop per entry; hops are doubled (pointer jumping) from the start of each
 file over its blocks. Only records on the chain from the file's start are kept, so
-marks inside payloads are rejected, and the pieces they cut off are put back.
+marks inside payloads are rejected, and the pieces they cut off are put back. A
+header that holds a mark itself is measured over the pieces up to its blank line.
 """
 
 from __future__ import annotations
@@ -40,14 +41,16 @@ def write(
 ) -> None:
     """Write one record per page; a null payload is empty, a null URL is left out.
 
+    Line breaks, blanks and record marks inside a URL are percent-encoded.
     Of pages with equal payloads of at least `min_revisit_bytes`, the one with the
     largest key keeps the payload and the others revisit it; rows that share that
     largest key, or that all lack a key, all keep it.
     """
     scratch = Scratch(pages.sparkSession)
     body = F.coalesce(F.col(payload), F.lit(""))
+    plain_url = F.replace(F.regexp_replace(F.col(url), "[\r\n ]", "%20"), F.lit(_MARK), F.lit(_MARK.replace("/", "%2F")))
     rows = pages.select(
-        F.col(key).alias("key"), F.regexp_replace(F.col(url), "[\r\n ]", "%20").alias("url"), body.alias("body")
+        F.col(key).alias("key"), plain_url.alias("url"), body.alias("body")
     ).select("*", F.octet_length("body").alias("bytes"), F.sha1(F.encode("body", "UTF-8")).alias("digest"))
     # Written first, so that its size is known: a small table spares the payloads the shuffle.
     firsts = scratch.stage(
@@ -101,8 +104,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     """What stands between two marks, with the place that orders it and the header read from it.
 
     `len` counts raw bytes. The first piece of a file is what precedes its first mark.
+    `lead` counts the bytes before the blank line, all where there is none (not `closed`);
+    an `open` piece begins a header that ends in a later piece.
     """
-    head = F.split("value", _EOL * 2, 2)
+    split = F.split("value", _EOL * 2, 2)
+    closed = F.size(split) == 2
     return (
         tune(spark)
         .read.option("lineSep", _MARK)
@@ -112,10 +118,45 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"),
             F.octet_length("value").cast("long").alias("len"),
-            F.when(F.size(head) == 2, head[0]).alias("head"),
+            F.when(closed, split[0]).alias("head"),
+            closed.alias("closed"),
+            F.octet_length(split[0]).cast("long").alias("lead"),
+            (~closed & F.col("value").rlike("^[01]\r\n")).alias("open"),
+            # A piece may begin inside a line, which its first characters do not name.
+            F.concat(F.lit(_MARK), split[0]).alias("_lead"),
             "value",
         )
-        .withColumn("content", _field("head", "Content-Length").try_cast("long"))
+        .withColumn("content", _field("_lead", "Content-Length").try_cast("long"))
+        .drop("_lead")
+    )
+
+
+_PLACED = ("file", "block", "place", "len", "closed", "lead", "open", "content")
+
+
+def _whole_headers(placed: DataFrame, before: Window) -> DataFrame:
+    """`placed` with `head_bytes` and `content` of headers that go on in later pieces.
+
+    Pieces up to a blank line form a group, which may cross blocks; a header that opens in
+    one ends at its end.
+    """
+    ends = F.col("closed").cast("long")
+    blocks = placed.groupBy("file", "block").agg(F.sum(ends).alias("_ends"))
+    blocks = blocks.withColumn("_earlier", F.coalesce(F.sum("_ends").over(before), F.lit(0))).drop("_ends")
+    inside = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    from_end = (
+        Window.partitionBy("file", "_group").orderBy(F.desc("block"), F.desc("place"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    known = F.col("closed") | F.col("open") & F.max("closed").over(from_end)
+    return (
+        placed.join(blocks, ["file", "block"])
+        .withColumn("_group", F.col("_earlier") + F.coalesce(F.sum(ends).over(inside), F.lit(0)))
+        .withColumn("_bytes", F.sum(F.col("lead") + len(_MARK)).over(from_end) - len(_MARK) + 4)
+        .withColumn("_content", F.last("content", ignorenulls=True).over(from_end))
+        .withColumn("head_bytes", F.when(known, F.col("_bytes")))
+        .withColumn("content", F.when(F.col("open"), F.col("_content")).otherwise(F.col("content")))
+        .drop("_earlier", "_group", "_bytes", "_content")
     )
 
 
@@ -125,22 +166,25 @@ def offsets(pieces: DataFrame) -> DataFrame:
     Lengths are added up inside blocks and over the blocks of a file.
     """
     size = F.col("len") + len(_MARK)
-    narrow = pieces.select("file", "block", "place", "len", "head", "content")
+    narrow = pieces.select(*_PLACED)
     blocks = narrow.groupBy("file", "block").agg(F.sum(size).alias("_bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_base", F.coalesce(F.sum("_bytes").over(before), F.lit(0))).drop("_bytes")
     inside = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))
-    head_bytes = F.octet_length("head") + 4
+    if narrow.where("open").isEmpty():
+        headed = narrow.withColumn("head_bytes", F.when(F.col("closed"), F.col("lead") + 4))
+    else:
+        headed = _whole_headers(narrow, before)
     return (
-        narrow.join(blocks, ["file", "block"])
+        headed.join(blocks, ["file", "block"])
         .withColumn("_start", start)
         .select(
             "file",
             "block",
             "place",
             (F.col("_start") - len(_MARK)).alias("offset"),
-            F.when(F.col("content") >= 0, F.col("_start") + head_bytes + F.col("content") + 4).alias("succ"),
+            F.when(F.col("content") >= 0, F.col("_start") + F.col("head_bytes") + F.col("content") + 4).alias("succ"),
         )
     )
 
@@ -234,20 +278,18 @@ def records(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     mended = (
         places.join(cut, ["file", "owner"], "left_semi")
         .join(pieces, _AT)
-        .select("file", "owner", "offset", "head", "content", raw.alias("raw"))
+        .select("file", "owner", "offset", raw.alias("raw"))
         .groupBy("file", "owner")
-        .agg(
-            F.min_by("head", "offset").alias("head"),
-            F.min_by("content", "offset").alias("content"),
-            F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("parts"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("parts"))
         .select(
             "file",
             F.col("owner").alias("offset"),
-            "head",
-            "content",
             F.expr(f"aggregate(slice(parts, 2, size(parts)), parts[0].raw, (a, p) -> concat(a, binary('{_MARK}'), p.raw))").alias("raw"),
         )
+        # The first piece may hold a part of the header only.
+        .withColumn("head", F.split(F.col("raw").cast("string"), _EOL * 2, 2)[0])
+        .withColumn("content", _field("head", "Content-Length").try_cast("long"))
+        .select("file", "offset", "head", "content", "raw")
     )
     return whole.union(mended).select("file", "offset", "head", "content", _after_head("raw").alias("body"))
 
@@ -287,7 +329,7 @@ def pages(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     names = list(_page(body))
     facts = scratch.stage(
         segments(spark, path).withColumn("raw", F.col("value").cast("binary")).select(
-            *_AT, "len", "head", "content", *(c.alias(n) for n, c in _page(body).items())
+            *_PLACED, "head", *(c.alias(n) for n, c in _page(body).items())
         )
     )
     places = owned(facts, scratch)

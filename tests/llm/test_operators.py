@@ -250,3 +250,26 @@ def test_warc_round_trip(spark, tmp_path):
             assert warc.records(spark, folder, Scratch(spark)).count() == len(rows)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("block", ["150", "100000"])
+def test_warc_marks_in_headers(spark, tmp_path, block):
+    def record(i, url):
+        http = f"HTTP/1.1 200 OK\r\nContent-Length: 6\r\n\r\npage {i}"
+        head = f"0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: {url}\r\n"
+        return f"WARC/1.{head}Content-Length: {len(http)}\r\n\r\n{http}\r\n\r\n"
+
+    marked = "http://a/WARC/1./b?c=WARC/1.Content-Length:3"
+    urls = ["u", marked, "u", marked, marked, "u", "WARC/1.0", "u"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_text("".join(record(i, u) for i, u in enumerate(urls)), newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = warc.pages(spark, str(tmp_path / "in"), Scratch(spark)).collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 6) for i in range(len(urls))]
+        pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+        warc.write(pages.coalesce(1), str(tmp_path / "out"), compression="none")
+        assert warc.segments(spark, str(tmp_path / "out")).where("len > 0").count() == len(urls)
+        assert warc.pages(spark, str(tmp_path / "out"), Scratch(spark)).where("intact").count() == len(urls)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
