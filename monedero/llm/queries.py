@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monedero.llm import decontaminate, langid, licenses, mixing, mtree, neardup, quality, secret_scan, surrogates, warc
+from monedero.llm import (
+    decontaminate,
+    fim,
+    langid,
+    licenses,
+    mixing,
+    mtree,
+    neardup,
+    quality,
+    secret_scan,
+    surrogates,
+    toxicity,
+    vector_codes,
+    warc,
+)
 from monedero.llm.common import Scratch, fold, read
 
 
@@ -67,6 +81,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.encode(vectors, books, columns=("vec_id", "label"))
+    rows = vector_codes.with_group_errors(coded, "label", "label_error", Scratch(spark))
+    return rows.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(~fold("doc_id", 5, 0))
+    model = toxicity.fit(docs, labels)
+    rows = docs.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "text")
+    return toxicity.predict(rows, model, columns=("doc_id", "held_out")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 _WARC_SQL = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -83,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_language_id, op2_source_mixing, op3_pii_surrogates, op4_secret_scan, op5_decontamination, op6_license_scan,
         op7_quality, op8_near_duplicates, op9_top_k_search, op10_warc,
+        op11_vector_codes, op12_fill_in_middle, op13_toxicity,
     )
     return {f.__name__: f for f in own}
 
@@ -93,4 +135,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_duplicates": neardup.oracle_sql(),
         "op9_top_k_search": mtree.oracle_sql(),
         "op10_warc": _WARC_SQL,
+        "op11_vector_codes": vector_codes.oracle_sql(),
+        "op12_fill_in_middle": fim.oracle_sql(),
     }
