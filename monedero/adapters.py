@@ -428,3 +428,33 @@ def flawed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = orders.select("source_file", F.col("o_orderkey").cast("bigint").alias("line_no"), line.alias("line"))
     return heads.unionByName(rows.filter("line_no > 0"))
+
+
+def write_broken_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Three upload files of all orders: byte-order mark, blank lines, stray quotes, and
+    quoted cells with line breaks, delimiters and quotes in them."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 4 == 0, F.concat(F.lit('"uno ""'), key, F.lit('"";\ndos\n\n; tres"')))
+        .when(key % 4 == 1, F.concat(F.lit('tubo 5" '), key))
+        .when(key % 4 == 2, F.concat(F.lit('"todo; '), key, F.lit('"')))
+        .otherwise(F.concat(F.lit("simple "), key))
+    )
+    day = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    line = F.concat_ws(";", day, text, F.col("o_totalprice").cast("decimal(18,2)"))
+    # A line break more makes a blank line.
+    rows = orders.select(
+        (key % 3).cast("int").alias("archivo"), key.alias("orden"), F.when(key % 10 == 0, F.concat(line, F.lit("\n"))).otherwise(line).alias("value")
+    )
+    head = spark.range(3).select(
+        F.col("id").cast("int").alias("archivo"), F.lit(-1).cast("bigint").alias("orden"), F.lit("\ufefffecha;detalle;monto").alias("value")
+    )
+    (
+        head.unionByName(rows)
+        .repartition("archivo")
+        .sortWithinPartitions("archivo", "orden")
+        .select("archivo", "value")
+        .write.partitionBy("archivo")
+        .text(folder)
+    )

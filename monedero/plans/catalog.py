@@ -13,7 +13,7 @@ from monedero.operators import ingest as ing
 from monedero.operators import metrics, mutate, projection, reimburse, rules, suggest, views
 from monedero.plans import jobs
 from monedero.schema import LEDGER_COLUMNS, MASTER, MatchConfig
-from monedero.session import stage, work_dir
+from monedero.session import settings, stage, work_dir
 from monedero.sources import exports, statements, store
 from monedero.streaming import ingest_stream
 
@@ -65,6 +65,17 @@ def read_statement_files(spark, sf):
     )
 
 
+@query
+def read_statement_files_split(spark, sf):
+    """Files with quoted line breaks, cut by Spark into many blocks."""
+    folder = work_dir(spark)
+    a.write_broken_files(spark, sf, folder)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1"}):
+        rows = stage(statements.read_statements(spark, folder))
+    file = F.regexp_extract("source_file", "archivo=([0-9]+)", 1).cast("int")
+    return rows.select(file.alias("archivo"), "id", "fecha", "detalle", "monto")
+
+
 @query
 def rejected_rows(spark, sf):
     return statements.rejected_rows(a.flawed_lines(spark, sf))

@@ -292,6 +292,16 @@ def oracle_sql() -> dict[str, str]:
     sql["read_statement_files"] = _led(
         f"SELECT fecha, detalle, monto, {_alnum('detalle')} AS detalle_norm FROM led"
     )
+    sql["read_statement_files_split"] = """
+      SELECT CAST(o_orderkey % 3 AS INTEGER) AS archivo,
+        CAST(count(*) OVER w + coalesce(count(*) FILTER (WHERE o_orderkey % 10 = 0) OVER b, 0) AS VARCHAR) AS id,
+        CAST(o_orderdate AS DATE) AS fecha,
+        CASE o_orderkey % 4 WHEN 0 THEN 'uno "' || o_orderkey || '";' || chr(10) || 'dos' || chr(10) || chr(10) || '; tres'
+          WHEN 1 THEN 'tubo 5" ' || o_orderkey WHEN 2 THEN 'todo; ' || o_orderkey ELSE 'simple ' || o_orderkey END AS detalle,
+        o_totalprice AS monto
+      FROM orders
+      WINDOW w AS (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey),
+        b AS (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
     sql["rejected_rows"] = """
       SELECT DISTINCT 'cliente-' || o_custkey AS source_file, CAST(NULL AS BIGINT) AS line_no,
         'missing: monto' AS reason, CAST(NULL AS VARCHAR) AS line

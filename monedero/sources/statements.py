@@ -1,16 +1,16 @@
 """Bank-statement files of unknown encoding, delimiter, header row and columns.
 
-Small files are read whole, one task for many files; a huge file is split into
-blocks over many tasks. What has to be known per file (delimiter, header, column
-roles) is worked out from its first lines into one small row per file and joined
-back to its lines.
+Files are read as lines in the blocks Spark cuts them into, whatever their size, and
+quoted line breaks are carried across the blocks. What has to be known per file
+(delimiter, header, column roles) is worked out from its first records into one small
+row per file and joined back to its records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from monedero.functions import (
@@ -73,11 +73,12 @@ _CP1252 = bytes(range(0x80, 0xA0)).decode("latin-1")
 _CP1252_TEXT = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
 
-# Files up to this size are read whole; larger ones are split by Spark into blocks.
-WHOLE_FILE_BYTES = 32 * 1024 * 1024
 # A quoted cell starts right after a separator; any other quote is plain text.
-_QUOTED = r'"(?:[^"]++|"")*+"'
-_RECORD = rf'\n((?:[^\n"]++|(?<![^;,\t|\n]){_QUOTED}|")*+)'
+_CELL_START = r"(?<![^;,\t|])"
+_INSIDE = r'(?:[^"]++|"")*+'
+_QUOTED = rf'"{_INSIDE}"'
+# Ends in a quoted cell that is still open, seen from outside of one.
+_OPENS = rf'(?:[^"]++|{_CELL_START}{_QUOTED}|(?<=[^;,\t|])")*+{_CELL_START}"{_INSIDE}\z'
 
 
 def decode_text(value: Column, is_utf8: Column) -> Column:
@@ -96,60 +97,178 @@ def _text(spark: SparkSession, path: str | Sequence[str], **options) -> DataFram
     return spark.read.text(path if isinstance(path, str) else list(path), **options)
 
 
-def _whole_files(spark: SparkSession, path: str | Sequence[str], limit: int) -> DataFrame:
-    """Records of small files, without any shuffle; a quoted cell may hold line breaks."""
-    files = _text(spark, path, wholetext=True).filter(F.col("_metadata.file_size") <= limit)
-    text = decode_text(F.col("value"), F.is_valid_utf8("value"))
-    # Every record starts with a line break, the first one with an added one.
-    text = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
-    records = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
-    return files.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.posexplode(records).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+def _ends_open(line: Column) -> Column:
+    """Whether a quoted cell is open at the end of a line that starts a record."""
+    return line.rlike("^" + _OPENS)
+
+
+def _opens_again(line: Column) -> Column:
+    """Whether a line that starts inside a quoted cell closes it and ends in another one."""
+    return line.rlike(f'^{_INSIDE}"' + _OPENS)
 
 
-def _blocks_of_lines(raw: DataFrame) -> DataFrame:
-    """Lines of large files. Encoding is one choice per file, so it is aggregated first.
+def _stays_open(line: Column) -> Column:
+    """Whether a quoted cell is open at the end of a line that starts inside of one."""
+    return line.rlike(rf"^{_INSIDE}\z") | _opens_again(line)
 
-    `line_no` is exact in the first block of a file; in later blocks it is the
-    byte offset of the block plus the line's index, which keeps the file's order.
-    A quoted cell ends with its line here.
+
+def _open_after(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds `from_out` and `from_in`: whether a quoted cell is open after each row.
+
+    A row turns the state it meets into `if_out` or `if_in`. It either fixes the
+    state, flips it or lets it be, so the state after any row is what the last
+    fixing row left, flipped as often as rows flip it since: two running values.
     """
-    known = raw.groupBy("source_file", "block").agg(
-        F.min("seq").alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("ok")
-    )
-    files = known.groupBy("source_file").agg(F.bool_and("ok").alias("utf8"))
-    # Written, so that the planner knows its size and need not shuffle the lines.
-    known = stage(known.select("source_file", "block", "first").join(files, "source_file"))
-    line_no = F.col("block") + F.col("seq") - F.col("first")
-    how = F.col("value"), F.col("utf8")
-    return raw.join(known, ["source_file", "block"]).select(
-        "source_file",
-        line_no.alias("line_no"),
-        # Only the start of a file can hold a byte-order mark.
-        F.when(line_no == 0, decode_text(*how)).otherwise(_decoded(*how)).alias("line"),
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fixed = F.col("if_out") == F.col("if_in")
+    flips = F.sum((F.col("if_out") & ~F.col("if_in")).cast("bigint")).over(w)
+    df = df.withColumn("_flips", flips).withColumns(
+        {
+            "_left": F.last(F.when(fixed, F.col("if_out")), ignorenulls=True).over(w),
+            "_then": F.last(F.when(fixed, F.col("_flips")), ignorenulls=True).over(w),
+        }
     )
+    odd = (F.col("_flips") - F.coalesce("_then", F.lit(0))) % 2 == 1
+    return df.withColumns(
+        {
+            "from_out": F.coalesce("_left", F.lit(False)) != odd,
+            "from_in": F.coalesce("_left", F.lit(True)) != odd,
+        }
+    ).drop("_flips", "_left", "_then")
 
 
-def read_lines(
-    spark: SparkSession, path: str | Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """(source_file, line_no, line) of all files, decoded file by file."""
-    large = (
-        _text(spark, path)
-        .filter(F.col("_metadata.file_size") > whole_file_bytes)
+def _block_effects(raw: DataFrame) -> DataFrame:
+    """What the lines of each block do to an open quoted cell, one row per block with a line that
+    opens or closes one.
+
+    `out_lines` and `in_lines` count the lines up to the last effective one that start
+    inside a quoted cell, for a block that starts outside and inside of one.
+    """
+    block = ["source_file", "block"]
+    lines = (
+        raw.filter(F.contains("value", F.lit('"')))
         .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
+            *block,
+            "seq",
+            _ends_open(F.col("value")).alias("if_out"),
+            _stays_open(F.col("value")).alias("if_in"),
+            _opens_again(F.col("value")).alias("again"),
+        )
+        .filter("if_out or not if_in or again")
+    )
+    reach = F.lead("seq").over(Window.partitionBy(*block).orderBy("seq")) - F.col("seq")
+    return (
+        _open_after(lines, block, "seq")
+        .withColumn("reach", reach)
+        .groupBy(*block)
+        .agg(
+            F.min("seq").alias("first_effect"),
+            F.max("seq").alias("last_effect"),
+            F.max_by("from_out", "seq").alias("if_out"),
+            F.max_by("from_in", "seq").alias("if_in"),
+            F.sum(F.when(F.col("from_out"), F.col("reach"))).alias("out_lines"),
+            F.sum(F.when(F.col("from_in"), F.col("reach"))).alias("in_lines"),
+        )
+    )
+
+
+def _blocks(raw: DataFrame) -> DataFrame:
+    """One row per block of a file: where it stands in the file's records, and the file's encoding.
+
+    `base` is the number of records that start in earlier blocks, `open` tells whether
+    the block starts inside a quoted cell, `joined` whether it holds part of a record
+    of several lines. A quoted cell that never closes is plain text: after the line
+    `cut`, which opens it, every line is a record.
+    """
+    key = ["source_file", "block"]
+    sizes = raw.groupBy(*key).agg(
+        F.min("seq").alias("first"), F.max("seq").alias("last"), F.bool_and(F.is_valid_utf8("value")).alias("ok")
+    )
+    blocks = sizes.join(_block_effects(raw), key, "left").withColumns(
+        {"if_out": F.coalesce("if_out", F.lit(False)), "if_in": F.coalesce("if_in", F.lit(True))}
+    )
+    file = Window.partitionBy("source_file")
+    ahead = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = _open_after(blocks, ["source_file"], "block").withColumns(
+        {
+            "open": F.coalesce(F.lag("from_out").over(file.orderBy("block")), F.lit(False)),
+            "never_closed": F.max_by("from_out", "block").over(file),
+            "opener": F.max(F.when(F.col("last_effect").isNotNull(), F.col("block"))).over(file),
+            "utf8": F.bool_and("ok").over(file),
+        }
+    )
+    unclosed = F.col("never_closed") & (F.col("block") >= F.col("opener"))
+    blocks = blocks.withColumns(
+        {
+            "open": F.col("open") & ~(F.col("never_closed") & (F.col("block") > F.col("opener"))),
+            "after": F.col("from_out") & ~unclosed,
+            "cut": F.when(unclosed, F.col("last_effect")),
+        }
+    )
+    lines = F.col("last") - F.col("first") + 1
+    until = F.coalesce(F.col("first_effect") - F.col("first") + 1, lines)
+    tail = F.when(F.col("after"), F.col("last") - F.col("last_effect"))
+    inner = F.when(F.col("open"), until + F.coalesce("in_lines", F.lit(0))).otherwise(F.coalesce("out_lines", F.lit(0)))
+    return (
+        blocks.withColumn("inner", inner + F.coalesce(tail, F.lit(0)))
+        .withColumns(
+            {
+                "base": F.coalesce(F.sum(lines - F.col("inner")).over(ahead), F.lit(0)),
+                "joined": (F.col("inner") > 0) | F.col("after"),
+            }
         )
+        .select(*key, "first", "utf8", "base", "open", "cut", "joined")
+    )
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Records of the blocks that hold records of several lines."""
+    block = ["source_file", "block"]
+    w = Window.partitionBy(*block).orderBy("seq")
+    effects = lines.withColumns({"if_out": _ends_open(F.col("value")), "if_in": _stays_open(F.col("value"))})
+    after = F.when(F.col("open"), F.col("from_in")).otherwise(F.col("from_out"))
+    inside = F.coalesce(F.lag("after").over(w), F.col("open")) & (
+        F.col("cut").isNull() | (F.col("seq") <= F.col("cut"))
+    )
+    numbered = (
+        _open_after(effects, block, "seq")
+        .withColumn("after", after)
+        .withColumn("inside", inside.cast("bigint"))
+        .withColumn("line_no", F.col("line_no") - F.sum("inside").over(w))
+    )
+    parts = F.array_sort(F.collect_list(F.struct("block", "seq", "line")))
+    return (
+        numbered.groupBy("source_file", "line_no")
+        .agg(parts.alias("parts"))
+        .select("source_file", "line_no", F.array_join(F.col("parts")["line"], "\n").alias("line"))
+    )
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(source_file, line_no, line) of the records of all files, decoded file by file.
+
+    A record is a line, or several where a quoted cell holds line breaks; `line_no`
+    counts the records of a file from 0. Spark may split files into blocks anywhere:
+    what a block's quotes do is worked out per block and carried along the blocks, so
+    records and numbers are the same for any block size. Only blocks with records of
+    several lines are shuffled.
+    """
+    raw = _text(spark, path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
     )
-    small = _whole_files(spark, path, whole_file_bytes)
-    if large.rdd.getNumPartitions() == 0:
-        return small
-    return small.unionByName(_blocks_of_lines(large))
+    # Written, so that the planner knows its size and need not shuffle the lines.
+    known = stage(_blocks(raw))
+    lines = raw.join(known, ["source_file", "block"])
+    line_no = F.col("base") + F.col("seq") - F.col("first")
+    how = F.col("value"), F.col("utf8")
+    # Only the start of a file can hold a byte-order mark.
+    line = F.when(line_no == 0, decode_text(*how)).otherwise(_decoded(*how))
+    lines = lines.withColumns({"line_no": line_no, "line": line})
+    single = lines.filter(~F.col("joined")).select("source_file", "line_no", "line")
+    return single.unionByName(_joined_records(lines.filter("joined")))
 
 
 def sniff_delimiter(lines: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 
 from monedero.plans import jobs
+from monedero.session import settings
 from monedero.sources import exports, statements, store
 from monedero.schema import MatchConfig
 from monedero.streaming import ingest_stream
@@ -27,6 +30,11 @@ def folder(tmp_path):
     return str(tmp_path)
 
 
+def blocks_of(spark, size):
+    """Files are cut into blocks of at most `size` bytes."""
+    return settings(spark, {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"})
+
+
 def name_of(r):
     return r.source_file.rsplit("/", 1)[1]
 
@@ -54,18 +62,13 @@ def test_a_file_split_over_tasks_keeps_its_order(spark, tmp_path):
     n = 20000
     body = "".join(f"2024-01-{i % 28 + 1:02d};fila {i};{i}.25\n" for i in range(n))
     (tmp_path / "big.csv").write_text("fecha;detalle;monto\n" + body)
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "65536")
-    try:
-        lines = statements.read_lines(spark, str(tmp_path), whole_file_bytes=1000)
+    with blocks_of(spark, 65536):
+        lines = statements.read_lines(spark, str(tmp_path))
         rows = statements.upload_rows(lines).orderBy("line_no").collect()
         blocks = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
-    finally:
-        spark.conf.set(key, before)
     assert blocks > 3
     assert [r.detalle for r in rows] == [f"fila {i}" for i in range(n)]
-    assert len({r.line_no for r in rows}) == n
+    assert [(r.line_no, r.id) for r in rows] == [(i + 1, str(i + 1)) for i in range(n)]
 
 
 def test_quoted_line_breaks_and_stray_quotes(spark, tmp_path):
@@ -75,12 +78,40 @@ def test_quoted_line_breaks_and_stray_quotes(spark, tmp_path):
     assert [(r.detalle, r.monto) for r in rows] == [('uno\ndos; "tres"', 1.0), ('tubo 5"', 2.0), ('x 7"', 3.0)]
 
 
-def test_both_ways_of_reading_agree(spark, folder):
-    def lines(limit):
-        df = statements.read_lines(spark, folder, whole_file_bytes=limit)
-        return sorted((r.source_file, r.line_no, r.line) for r in df.collect() if r.line)
+def records_of(text):
+    """Records of a whole file by one expression over its text."""
+    text = "\n" + re.sub(r"\r\n?", "\n", text.removeprefix("\ufeff"))
+    quoted = r'"(?:[^"]++|"")*+"'
+    found = re.findall(rf'\n((?:[^\n"]++|(?<![^;,\t|\n]){quoted}|")*+)', text)
+    return found[:-1] if found[-1] == "" else found
+
 
-    assert lines(0) == lines(1_000_000)
+def records_read(spark, folder):
+    got = {}
+    for r in statements.read_lines(spark, str(folder)).collect():
+        got.setdefault(name_of(r), {})[r.line_no] = r.line
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    return {k: [v[i] for i in range(len(v))] for k, v in got.items()}
+
+
+@pytest.mark.parametrize("size", [7, 40, 1 << 20])
+def test_records_do_not_depend_on_the_block_size(spark, tmp_path, size):
+    draw = random.Random(size)
+    texts = {
+        "never.csv": 'a;b\n1;"open\nx;y\n"" ;""\nz\n',
+        "late.csv": 'a\n;"one\ntwo";"three\nfour\nfive" ;"\n',
+        "long.csv": "\ufeffh1;h2\n" + 'x;"' + "in the cell\n" * 30 + '" end;y\nlast;1',
+        "breaks.csv": 'a;b\r\n"1\r\n2";3\r4;tubo 5"\n\n\n"";""""\n',
+        "latin.csv": "ñ;é\n\"á\nó\";ü\n",
+    }
+    for i in range(25):
+        texts[f"{i}.csv"] = "".join(draw.choice(['"', '"', '""', "\n", "\n", ";", ",", "ab", "é", " "]) for _ in range(draw.randrange(1, 90))).lstrip("\ufeff")
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode("cp1252" if name == "latin.csv" else "utf-8"))
+    with blocks_of(spark, size):
+        got = records_read(spark, tmp_path)
+    for name, text in texts.items():
+        assert got.get(name, []) == records_of(text), name
 
 
 def test_upload_aliases_and_rejected_files(spark, tmp_path):
@@ -226,6 +257,7 @@ def test_upload_stores_what_it_rejects(spark, tmp_path):
 
 def test_only_the_first_line_loses_a_byte_order_mark(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes("\ufefffecha;monto\n\ufeffuno;1\n".encode())
-    for limit in (0, 1 << 20):
-        got = statements.read_lines(spark, str(tmp_path / "x.csv"), limit).orderBy("line_no").collect()
-        assert [r.line for r in got if r.line] == ["fecha;monto", "\ufeffuno;1"], limit
+    for size in (5, 1 << 20):
+        with blocks_of(spark, size):
+            got = statements.read_lines(spark, str(tmp_path / "x.csv")).orderBy("line_no").collect()
+        assert [r.line for r in got] == ["fecha;monto", "\ufeffuno;1"], size
