@@ -68,8 +68,13 @@ def drop_tombstoned(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     return df.join(tombstones.select("unique_key"), "unique_key", "left_anti")
 
 
-def effective_ignored(ignored: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ignored keys that count: all of them, or only 'id:' keys while the ledger is empty."""
+def effective_ignored(ignored: DataFrame, ledger: DataFrame, filled: bool | None = None) -> DataFrame:
+    """Ignored keys that count: all of them, or only 'id:' keys while the ledger is empty.
+
+    `filled` says whether the ledger has rows, where `ledger` holds only some of them.
+    """
+    if filled is not None:
+        return ignored.select("unique_key").filter(F.lit(filled) | F.col("unique_key").startswith("id:"))
     return (
         ignored.select("unique_key")
         .withColumn("_filled", ledger.select("unique_key").exists())
@@ -78,9 +83,11 @@ def effective_ignored(ignored: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def drop_ignored(df: DataFrame, ignored: DataFrame, ledger: DataFrame) -> DataFrame:
+def drop_ignored(
+    df: DataFrame, ignored: DataFrame, ledger: DataFrame, filled: bool | None = None
+) -> DataFrame:
     """Rows whose key is not on the ignored list."""
-    return df.join(effective_ignored(ignored, ledger), "unique_key", "left_anti")
+    return df.join(effective_ignored(ignored, ledger, filled), "unique_key", "left_anti")
 
 
 def default_real(monto_real, monto_mio, monto):
@@ -209,22 +216,37 @@ def ingest(
     once, so files are parsed and keys hashed one time, and so are the winners,
     which all three results share.
     """
-    batch = stage(clean_batch(raw, rules))
-    rows = wanted_rows(batch, ledger, ignored, tombstones)
+    return ingest_batch(stage(clean_batch(raw, rules)), ledger, ignored, tombstones, at)
+
+
+def ingest_batch(
+    batch: DataFrame,
+    ledger: DataFrame,
+    ignored: DataFrame,
+    tombstones: DataFrame,
+    at=None,
+    filled: bool | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`ingest` of a cleaned and keyed batch.
+
+    A row clashes with ledger rows of its own date only, so `ledger` may be the months
+    of the batch; `filled` then says whether the whole ledger has rows.
+    """
+    rows = wanted_rows(batch, ledger, ignored, tombstones, filled)
     winners = stage(pick_winners(rows, ledger))
     inserted, duplicates = split_batch(rows, winners)
     return (
         inserted.select(*LEDGER_COLUMNS),
         record_ignored(duplicates, ignored, at),
-        ingest_counts(batch, winners, ledger, ignored, tombstones),
+        ingest_counts(batch, winners, ledger, ignored, tombstones, filled),
     )
 
 
 def wanted_rows(
-    batch: DataFrame, ledger: DataFrame, ignored: DataFrame, tombstones: DataFrame
+    batch: DataFrame, ledger: DataFrame, ignored: DataFrame, tombstones: DataFrame, filled: bool | None = None
 ) -> DataFrame:
     """Ledger rows of a keyed batch without the deleted and the ignored ones."""
-    return to_ledger(drop_ignored(drop_tombstoned(batch, tombstones), ignored, ledger))
+    return to_ledger(drop_ignored(drop_tombstoned(batch, tombstones), ignored, ledger, filled))
 
 
 def ingest_counts(
@@ -233,11 +255,12 @@ def ingest_counts(
     ledger: DataFrame,
     ignored: DataFrame,
     tombstones: DataFrame,
+    filled: bool | None = None,
 ) -> DataFrame:
     """Inserted, duplicate, deleted and ignored rows of a keyed batch, as one row."""
     per_key = batch.groupBy("unique_key").agg(F.count(F.lit(1)).alias("n"))
     deleted = tombstones.select("unique_key", F.lit(True).alias("_del")).distinct()
-    listed = effective_ignored(ignored, ledger).distinct().withColumn("_ign", F.lit(True))
+    listed = effective_ignored(ignored, ledger, filled).distinct().withColumn("_ign", F.lit(True))
     new = winners.select("unique_key", F.lit(1).alias("_new"))
     marked = (
         per_key.join(deleted, "unique_key", "left")
@@ -278,11 +301,12 @@ def merge_master(master: DataFrame, new: DataFrame, master_is_unique: bool = Fal
     made by this function is unique and need not be looked through again.
     """
     fresh = new.join(master.select("id"), "id", "left_anti").select(*new.columns)
-    known = master if master_is_unique else _first_per_id(master)
-    return known.unionByName(_first_per_id(fresh), allowMissingColumns=True)
+    known = master if master_is_unique else first_per_id(master)
+    return known.unionByName(first_per_id(fresh), allowMissingColumns=True)
 
 
-def _first_per_id(df: DataFrame) -> DataFrame:
+def first_per_id(df: DataFrame) -> DataFrame:
+    """One row per id, the first by date, text, amount and category."""
     order = F.struct("fecha", "detalle", "monto", "categoria")
     row = F.struct(*df.columns)
     return df.groupBy("id").agg(F.min_by(row, order).alias("_row")).select("_row.*")

@@ -78,6 +78,21 @@ def delete_rows(
     The keys join the ignored list in any case, and the tombstones only when at
     least one row was deleted.
     """
+    if keys is None and ids is None:
+        return ledger, ignored, tombstones
+    rest, new_ignored, new_tombs = deletion(ledger, ignored, tombstones, keys, ids, at)
+    return rest, ignored.unionByName(new_ignored), tombstones.unionByName(new_tombs)
+
+
+def deletion(
+    ledger: DataFrame,
+    ignored: DataFrame,
+    tombstones: DataFrame,
+    keys: DataFrame | None = None,
+    ids: DataFrame | None = None,
+    at=None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger rows left, new ignored entries, new tombstones) of a delete by key and by id."""
     wanted = []
     rest = ledger
     if keys is not None:
@@ -87,8 +102,6 @@ def delete_rows(
         hit = ledger.select("id", "unique_key").join(by_id, "id", "left_semi")
         wanted.append(hit.select("unique_key"))
         rest = rest.join(by_id, "id", "left_anti")
-    if not wanted:
-        return ledger, ignored, tombstones
     gone = wanted[0]
     for more in wanted[1:]:
         gone = gone.unionByName(more)
@@ -107,7 +120,7 @@ def delete_rows(
         .filter("_any")
         .select("unique_key", _at(at).alias("deleted_at"))
     )
-    return rest, ignored.unionByName(new_ignored), tombstones.unionByName(new_tombs)
+    return rest, new_ignored, new_tombs
 
 
 def count_deleted(
@@ -233,24 +246,32 @@ def restore_ignored(
     A restored row replaces the ledger row of its key. Entries without a payload
     stand for deletes and stay.
     """
+    rows = restorable(ignored, keys)
+    return replace_rows(ledger, rows), ignored.join(rows.select("unique_key"), "unique_key", "left_anti").select(
+        *ignored.columns
+    )
+
+
+def replace_rows(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ledger with the rows in place of those of the same keys."""
+    kept = ledger.join(rows.select("unique_key"), "unique_key", "left_anti").select(*LEDGER_COLUMNS)
+    return kept.unionByName(rows.select(*LEDGER_COLUMNS))
+
+
+def restorable(ignored: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of the selected, or all, ignored entries with a payload."""
     chosen = ignored.filter(F.coalesce(F.col("payload"), F.lit("")) != "")
     if keys is not None:
         chosen = chosen.join(keys.select("unique_key"), "unique_key", "left_semi")
-    rows = chosen.select(
+    return chosen.select(
         "unique_key", F.from_json("payload", LEDGER, {"mode": "PERMISSIVE"}).alias("r")
     ).select(
         *[F.col(f"r.{c}").alias(c) for c in LEDGER_COLUMNS if c != "unique_key"], "unique_key"
     )
-    back = rows.select("unique_key")
-    return (
-        ledger.join(back, "unique_key", "left_anti")
-        .select(*LEDGER_COLUMNS)
-        .unionByName(rows.select(*LEDGER_COLUMNS)),
-        ignored.join(back, "unique_key", "left_anti").select(*ignored.columns),
-    )
 
 
-def _discrepant() -> Column:
+def discrepant() -> Column:
+    """Whether the corrected amount differs from the original."""
     monto, real = F.col("monto"), F.col("monto_real")
     off = monto.isNull() | (monto == 0) | (F.abs(monto) != real)
     return F.coalesce((real > 0) & off, F.lit(False))
@@ -258,10 +279,10 @@ def _discrepant() -> Column:
 
 def repair_amounts(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ledger with `monto` set to the corrected amount where they differ, row count repaired)."""
-    fixed = F.when(_discrepant(), F.abs("monto_real")).otherwise(F.col("monto"))
+    fixed = F.when(discrepant(), F.abs("monto_real")).otherwise(F.col("monto"))
     return (
         ledger.withColumn("monto", fixed),
-        ledger.agg(F.count_if(_discrepant()).alias("reparados")),
+        ledger.agg(F.count_if(discrepant()).alias("reparados")),
     )
 
 

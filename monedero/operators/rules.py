@@ -95,6 +95,15 @@ def mark_own_transfers(df: DataFrame, aliases: Iterable[str]) -> DataFrame:
     return df.withColumn("es_entre_cuentas", F.coalesce(hit, F.lit(False)))
 
 
+def teaching_rows(df: DataFrame) -> DataFrame:
+    """The categorised rows that name a merchant, with its `key`."""
+    return (
+        df.filter(~blank(F.col("categoria")) & (F.length("detalle_norm") > 3))
+        .withColumn("key", F.trim(F.substring_index("detalle_norm", "*", 1)))
+        .filter(F.length("key") >= 3)
+    )
+
+
 def learn_merchant_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules plus one per merchant of the categorised rows; the newest row's category wins.
 
@@ -102,19 +111,31 @@ def learn_merchant_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     and takes the new category; new keys come after all known ones, ordered by
     the first row that taught them.
     """
-    key = F.trim(F.substring_index("detalle_norm", "*", 1))
+    rows = teaching_rows(df)
+    return with_learned(rules, newest_teachers(rows).join(first_teachers(rows), "key"))
+
+
+def newest_teachers(rows: DataFrame) -> DataFrame:
+    """(key, fecha, id, categoria) of the newest row of each merchant; rows without a date are newest."""
     newest = F.struct(F.col("fecha").isNull(), "fecha", "id")
-    learned = (
-        df.filter(~blank(F.col("categoria")) & (F.length("detalle_norm") > 3))
-        .withColumn("key", key)
-        .filter(F.length("key") >= 3)
-        .groupBy("key")
-        .agg(
-            F.max_by(F.trim("categoria"), newest).alias("_learned"),
-            F.min(F.struct(F.col("fecha").isNull(), "fecha", "id")).alias("_first"),
-        )
-        .select("key", "_learned", F.col("_first.fecha").alias("_since"), F.col("_first.id").alias("_sid"))
+    return rows.groupBy("key").agg(
+        F.max_by("fecha", newest).alias("fecha"),
+        F.max_by("id", newest).alias("id"),
+        F.max_by("categoria", newest).alias("categoria"),
     )
+
+
+def first_teachers(rows: DataFrame) -> DataFrame:
+    """(key, since, since_id) of the first row of each merchant."""
+    first = F.min(F.struct(F.col("fecha").isNull(), "fecha", "id"))
+    return rows.groupBy("key").agg(first.alias("_first")).select(
+        "key", F.col("_first.fecha").alias("_since"), F.col("_first.id").alias("_sid")
+    )
+
+
+def with_learned(rules: DataFrame, learned: DataFrame) -> DataFrame:
+    """Rules with the categories learned: a known key keeps its place, new keys come last."""
+    learned = learned.select("key", F.trim("categoria").alias("_learned"), "_since", "_sid")
     last = rules.select((F.coalesce(F.max("ord"), F.lit(0)) + 1).alias("n")).scalar()
     known = rules.withColumn("_known", F.lit(True))
     return (

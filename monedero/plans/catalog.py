@@ -11,7 +11,7 @@ from monedero import adapters as a
 from monedero import functions as fn
 from monedero.operators import ingest as ing
 from monedero.operators import metrics, mutate, projection, reimburse, rules, suggest, views
-from monedero.plans import jobs
+from monedero.plans import changes, jobs
 from monedero.schema import LEDGER_COLUMNS, MASTER, MatchConfig
 from monedero.session import settings, stage, work_dir
 from monedero.sources import exports, statements, store
@@ -577,6 +577,129 @@ def ingest_stream_ledger(spark, sf):
     )
 
 
+# --- stored jobs ------------------------------------------------------------
+
+
+def _stored(spark, **tables: DataFrame) -> str:
+    """A new store that holds the tables."""
+    root = work_dir(spark)
+    store.commit(spark, root, append=tables)
+    return root
+
+
+@query
+def job_edit(spark, sf):
+    root = _stored(spark, ledger=a.ledger_orders(spark, sf))
+    changes.run_edit(spark, root, _edits(spark, sf))
+    return store.load_ledger(spark, root).select("id", "unique_key", "categoria", "monto_real", "nota_usuario")
+
+
+@query
+def job_delete_reimport(spark, sf):
+    """The urgent rows deleted, then all orders uploaded again: what was deleted stays out."""
+    root = _stored(spark, ledger=a.stored_ledger(spark, sf))
+    m = a.movements_orders(spark, sf).select("id", "prioridad")
+    urgent = a.stored_ledger(spark, sf).join(m, "id").filter("prioridad = '1-URGENT'")
+    changes.run_delete(spark, root, keys=urgent.select("unique_key"), at=AT)
+    folder = work_dir(spark)
+    a.ledger_orders(spark, sf).select("fecha", "detalle", "monto").write.option("header", True).csv(folder)
+    jobs.run_upload(spark, folder, root, at=AT)
+    return store.load_ledger(spark, root).select("unique_key", "fecha", "monto")
+
+
+@query
+def job_save(spark, sf):
+    """The table saved without its credits and with every note changed."""
+    ledger = a.ledger_orders(spark, sf)
+    root = _stored(spark, ledger=ledger)
+    before = views.editable_view(ledger, a.categories(spark, sf))
+    credits = ledger.filter("monto > 0").select("unique_key")
+    after = before.join(credits, "unique_key", "left_anti").withColumn("nota_usuario", F.lit("editada"))
+    changes.run_save(spark, root, before, after, AT)
+    return store.load_ledger(spark, root).select("unique_key", "categoria", "monto_real", "nota_usuario")
+
+
+@query
+def job_manual(spark, sf):
+    root = _stored(spark, ledger=a.ledger_orders(spark, sf))
+    once = _entries(spark, sf)
+    changes.run_manual(spark, root, once.filter("monto > 0"))
+    again = once.withColumns({"seq": F.col("seq") + 1_000_000_000_000, "nota": F.lit("otra vez")})
+    changes.run_manual(spark, root, once.unionByName(again))
+    return store.load_ledger(spark, root).select(
+        "unique_key", "fecha", "detalle", "detalle_norm", "monto", "monto_real", "categoria", "nota_usuario"
+    )
+
+
+@query
+def job_restore(spark, sf):
+    ledger = a.ledger_orders(spark, sf).filter("monto < 0").withColumn("nota_usuario", F.lit("actual"))
+    root = _stored(spark, ledger=ledger, ignored=a.ignored_rows(spark, sf))
+    changes.run_restore(spark, root)
+    return store.load_ledger(spark, root)
+
+
+@query
+def job_repair(spark, sf):
+    root = _stored(spark, ledger=a.ledger_orders(spark, sf))
+    changes.run_repair(spark, root)
+    return store.load_ledger(spark, root).select("id", "monto", "monto_real")
+
+
+@query
+def job_rename(spark, sf):
+    """The category in the ledger and in the list of names."""
+    root = _stored(spark, ledger=a.ledger_orders(spark, sf), categories=a.categories(spark, sf))
+    changes.run_rename(spark, root, "Cat3", "Cat4")
+    ledger, listed = store.load_tables(spark, root, "ledger", "categories")
+    return ledger.select("id", "categoria").unionByName(
+        listed.select(F.lit(None).cast("string").alias("id"), F.col("nombre").alias("categoria"))
+    )
+
+
+@query
+def job_decisions(spark, sf):
+    ledger = a.ledger_orders(spark, sf)
+    root = _stored(spark, ledger=ledger, rules=a.exact_rules(spark, sf))
+    credit = F.when(F.col("monto") > 0, "Ingresos").otherwise("Sin categoría")
+    changes.run_decisions(spark, root, suggest.pending(ledger).select("unique_key", credit.alias("categoria")))
+    return store.load_ledger(spark, root).select("id", "categoria")
+
+
+@query
+def run_update_master(spark, sf):
+    """The closed orders as the first batch, all orders as the second, one store."""
+    m = stage(a.master_orders(spark, sf))
+    columns = [f.name for f in MASTER if f.name in m.columns]
+    root = work_dir(spark)
+    jobs.run_update_master(spark, m.filter("estado <> 'O'").select(*columns), root, a.merchant_rules(spark), CONFIG)
+    jobs.run_update_master(spark, m.select(*columns), root, cfg=CONFIG)
+    return store.load_master(spark, root).select(
+        "id", "categoria", "es_entre_cuentas", "match_id", "es_gasto", "monto_mio"
+    )
+
+
+@query
+def master_roundtrip(spark, sf):
+    m = a.master_orders(spark, sf)
+    root = work_dir(spark)
+    store.save_snapshot(m.select(*[f.name for f in MASTER if f.name in m.columns]), root, "master")
+    return store.load_master(spark, root).select(
+        "id", "fecha", "detalle", "monto", "categoria", "fraccion_mia", "monto_mio", "detalle_norm"
+    )
+
+
+@query
+def read_rules(spark, sf):
+    """One rule per brand, written as a rule file and read back in the file's order."""
+    folder = work_dir(spark)
+    brands = a.table(spark, sf, "part").select("p_brand").distinct()
+    pair = F.struct(F.col("p_brand").alias("key"), F.concat(F.lit("Marca "), "p_brand").alias("value"))
+    names = brands.agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("m"))
+    names.select(F.to_json("m").alias("value")).write.text(folder)
+    return exports.read_merchant_rules(spark, folder).select("ord", "key", "categoria")
+
+
 # --- categorisation ---------------------------------------------------------
 
 

@@ -508,6 +508,24 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT id, CASE WHEN {off} THEN monto_real ELSE monto END AS monto, monto_real FROM led"
     )
     sql["repair_count"] = _led(f"SELECT count(*) AS reparados FROM led WHERE {off}")
+    sql["job_edit"] = sql["apply_edits"]
+    sql["job_delete_reimport"] = _led(
+        """SELECT unique_key, fecha, -abs(any_value(monto)) AS monto FROM led
+          WHERE NOT (estado <> 'O' AND prioridad = '1-URGENT') GROUP BY unique_key, fecha"""
+    )
+    sql["job_save"] = sql["save_diff"]
+    sql["job_manual"] = sql["manual_append"]
+    sql["job_restore"] = sql["restore_ignored"]
+    sql["job_repair"] = sql["repair_amounts"]
+    sql["job_rename"] = _led(
+        """SELECT id, CASE WHEN categoria = 'Cat3' THEN 'Cat4' ELSE categoria END AS categoria FROM led
+          UNION ALL SELECT NULL, nombre FROM cats WHERE nombre <> 'Cat3'""",
+        CATS,
+    )
+    sql["master_roundtrip"] = f"""WITH {MASTER} SELECT id, fecha, detalle, monto, cat AS categoria,
+      fraccion_mia_sugerida AS fraccion_mia, monto_mio_estimado AS monto_mio, dn AS detalle_norm FROM mast"""
+    sql["read_rules"] = """SELECT row_number() OVER (ORDER BY p_brand) - 1 AS ord, p_brand AS key,
+      'Marca ' || p_brand AS categoria FROM (SELECT DISTINCT p_brand FROM part)"""
     sql["draft_overlay"] = _led(
         """SELECT unique_key, CASE WHEN monto > 0 THEN monto * 2 ELSE monto END AS monto,
           CASE WHEN monto > 0 THEN CASE WHEN monto_real > 0 THEN 'Borrador' END ELSE categoria END AS categoria,
@@ -535,6 +553,21 @@ full_ AS (SELECT * EXCLUDE (cat), cat, false AS own FROM old_ UNION ALL
         f.monto < 0 AND NOT f.es_transferencia_o_abono AS es_gasto,
         CASE WHEN f.monto < 0 AND NOT f.es_transferencia_o_abono AND NOT f.own THEN f.monto * f.fraccion_mia_sugerida ELSE 0 END AS monto_mio
       FROM full_ f LEFT JOIN best b ON b.id = f.id"""
+    sql["run_update_master"] = f"""
+      WITH {MASTER}, {MRULES}, {_first_rule('mast')},
+      old1 AS (SELECT m.* EXCLUDE (cat), coalesce(m.cat, h.categoria) AS cat FROM mast m LEFT JOIN hit h ON h.id = m.id
+        WHERE m.estado <> 'O'), {_learned('old1')},
+      rules2 AS ({_RULES_AFTER}),
+      hit2 AS (SELECT m.id, arg_min(r.categoria, (r.ord, r.since, r.since_id)) AS categoria
+        FROM mast m JOIN rules2 r ON contains(m.dn, r.key) GROUP BY m.id),
+      both_ AS (SELECT * EXCLUDE (cat), cat FROM old1 UNION ALL
+        SELECT m.* EXCLUDE (cat), coalesce(m.cat, h.categoria) AS cat FROM mast m LEFT JOIN hit2 h ON h.id = m.id
+        WHERE m.estado = 'O'),
+      full_ AS (SELECT *, {_OWN} AS own FROM both_), {_matches('full_', 21, 1000)}
+      SELECT f.id, f.cat AS categoria, f.own AS es_entre_cuentas, b.match_id,
+        f.monto < 0 AND NOT f.es_transferencia_o_abono AS es_gasto,
+        CASE WHEN f.monto < 0 AND NOT f.es_transferencia_o_abono AND NOT f.own THEN f.monto * f.fraccion_mia_sugerida ELSE 0 END AS monto_mio
+      FROM full_ f LEFT JOIN best b ON b.id = f.id"""
     sql["update_master_rules"] = (
         f"WITH {MASTER}, {MRULES}, {fresh}, {_first_rule('new_')}, {merged}, {_learned('full_')} {_RULES_AFTER}"
     )
@@ -612,6 +645,7 @@ full_ AS (SELECT * EXCLUDE (cat), cat, false AS own FROM old_ UNION ALL
         """SELECT id, CASE WHEN monto > 0 AND unique_key IN (SELECT unique_key FROM pend) THEN 'Ingresos' ELSE categoria END AS categoria FROM led""",
         PEND,
     )
+    sql["job_decisions"] = sql["apply_decisions"]
     sql["apply_decisions_rules"] = _led(
         """SELECT coalesce(r.detalle_norm, t.detalle_norm) AS detalle_norm, coalesce(t.c, r.categoria) AS categoria
           FROM xrules r FULL JOIN (SELECT DISTINCT detalle_norm, 'Ingresos' AS c FROM pend WHERE monto > 0) t

@@ -84,6 +84,7 @@ EXACT_RULES = T.StructType(
         T.StructField("categoria", T.StringType()),
     ]
 )
+CATEGORIES = T.StructType([T.StructField("nombre", T.StringType())])
 # Rule order is (ord, since, since_id): hand-written rules carry their list
 # position in `ord`; learned rules share one `ord` per run and are ordered
 # inside it by the row that taught them, so no global ranking is needed.
@@ -96,6 +97,15 @@ MERCHANT_RULES = T.StructType(
         T.StructField("categoria", T.StringType()),
     ]
 )
+# The newest row that taught each merchant rule.
+MERCHANT_TEACHERS = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("fecha", T.DateType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("categoria", T.StringType()),
+    ]
+)
 MASTER = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -158,7 +158,7 @@ def test_stream_in_batches_equals_one_upload(spark, tmp_path):
     for i, rows in enumerate(PARTS):
         write_csv(one / f"{i}.csv", rows)
     counts = jobs.run_upload(spark, str(one), str(tmp_path / "s1"))
-    assert counts == {"insertadas": 4, "duplicadas": 3, "borradas": 0, "ignoradas": 0}
+    assert counts == {"insertadas": 4, "duplicadas": 3, "borradas": 0, "ignoradas": 0, "rechazadas": 0}
 
     root = str(tmp_path / "s2")
     for i, rows in enumerate(PARTS):
@@ -210,11 +210,15 @@ def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
 def test_result_of_an_older_version_is_refused(spark, tmp_path):
     root = str(tmp_path / "store")
     rules = spark.createDataFrame([("a", "b")], "detalle_norm string, categoria string")
-    base, _ = store.load_version(spark, root, "rules")
+    base = store.current(spark, root)
     assert store.commit(spark, root, append={"rules": rules}, base=base) == 1
     with pytest.raises(store.Moved, match="from version 0"):
         store.commit(spark, root, append={"rules": rules}, base=base)
     assert store.load_tables(spark, root, "rules")[0].count() == 1
+    # What a table did not touch may have moved on.
+    with pytest.raises(store.Moved):
+        store.commit(spark, root, replace={"rules": rules}, base=base, reads=[])
+    assert store.commit(spark, root, append={"rules": rules}, base=base, reads=["2024-01"]) == 2
 
 
 def test_two_uploads_from_one_version_keep_each_key_once(spark, tmp_path, monkeypatch):
@@ -243,7 +247,10 @@ def test_upload_stores_what_it_rejects(spark, tmp_path):
         "fecha,glosa,monto\n2024-01-02,cafe,1,234.50\n2024-01-02,te,99999999999999999999\n2024-01-03,pan,20\n"
     )
     (folder / "b.csv").write_text("fecha,glosa,saldo\n2024-01-02,cafe,1\n")
-    assert jobs.run_upload(spark, str(folder), root)["insertadas"] == 2
+    counts = jobs.run_upload(spark, str(folder), root)
+    assert counts["insertadas"] == 2 and counts["rechazadas"] == 3
+    assert jobs.run_upload(spark, str(folder), root)["rechazadas"] == 3  # stored once
+    assert store.load_tables(spark, root, "rejected")[0].count() == 3
     got = {
         (name_of(r), r.line_no, r.reason, r.line)
         for r in store.load_tables(spark, root, "rejected")[0].collect()
