@@ -1,10 +1,10 @@
 """Ingest: clean a batch, key it, drop deleted and ignored rows, insert the rest once.
 
 A batch row carries its place in the input as (`source_file`, `line_no`); "first
-wins" always means first in that order. De-duplication works on aggregates per
-key, which Spark combines before the shuffle, and rows are then picked by a join
-on (key, place), which is unique per row: a key that fills a third of the batch
-never gathers in one task.
+wins" always means first in that order. The place is packed into one number, so that
+de-duplication works on hash aggregates per key, which Spark combines before the
+shuffle, and rows are then picked by a join on (key, place), which is unique per row:
+a key that fills a third of the batch never gathers in one task.
 """
 
 from __future__ import annotations
@@ -22,10 +22,26 @@ from monedero.session import stage
 PLACE = ("source_file", "line_no")
 
 
+#: More than any file's lines.
+_LINES = 10**12
+
+
 def place():
     return F.struct(*PLACE)
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Adds `_place`, a number that orders the rows by file and line.
+
+    The files are numbered in name order: sorted in ranges, one number after the other
+    in each, higher ones in later ranges. One row per file is written and joined.
+    """
+    files = rows.select("source_file").distinct().repartitionByRange("source_file").sortWithinPartitions("source_file")
+    numbers = stage(files.withColumn("_file", F.monotonically_increasing_id()))
+    first = F.col("_file").cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(13,0)")
+    return rows.join(numbers, "source_file").withColumn("_place", first + F.col("line_no")).drop("_file")
+
+
 def force_expense(df: DataFrame) -> DataFrame:
     """Every uploaded row is an expense: negative amount, expense flag set."""
     return df.withColumns(
@@ -102,15 +118,21 @@ def to_ledger(df: DataFrame) -> DataFrame:
         df = df.withColumnRenamed("fraccion_mia", "fraccion_mia_sugerida")
     if "monto_mio" in df.columns and "monto_mio_estimado" not in df.columns:
         df = df.withColumnRenamed("monto_mio", "monto_mio_estimado")
-    typed = df.select(*[ledger_value(df, c) for c in LEDGER_COLUMNS], *PLACE)
+    places = [*PLACE, *(["_place"] if "_place" in df.columns else [])]
+    typed = df.select(*[ledger_value(df, c) for c in LEDGER_COLUMNS], *places)
     return typed.withColumn(
         "monto_real",
         default_real(F.col("monto_real"), F.col("monto_mio_estimado"), F.col("monto")),
     )
 
 
+def _text_marks(text):
+    """Two hashes that stand for a text in aggregates, whose buffers hold numbers only."""
+    return F.xxhash64(text).alias("mark"), F.xxhash64(F.lit(1), text).alias("mark2")
+
+
 def pick_winners(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(unique_key, source_file, line_no) of the one row per key that enters the ledger.
+    """(unique_key, _place) of the one row per key that enters the ledger.
 
     Two rows are duplicates when they share the key, or share (date, text, amount).
     Where the text is not blank both say the same, so the key decides. Rows with
@@ -119,19 +141,19 @@ def pick_winners(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     has_text = F.col("detalle_norm") != ""
     dated = F.col("fecha").isNotNull()
+    mark, mark2 = (F.max(F.when(has_text, m)) for m in _text_marks(F.col("detalle_norm")))
     per_key = rows.groupBy("unique_key").agg(
         F.max("fecha").alias("fecha"),
         F.max(money(F.col("monto"))).alias("cents"),
-        F.max("detalle_norm").alias("text"),
-        F.min(F.when(has_text | ~dated, place())).alias("text_first"),
-        F.min(F.when(~has_text & dated, place())).alias("blank_first"),
+        mark.alias("mark"),
+        mark2.alias("mark2"),
+        F.min(F.when(has_text | ~dated, F.col("_place"))).alias("text_first"),
+        F.min(F.when(~has_text & dated, F.col("_place"))).alias("blank_first"),
+    )
+    signature = ["fecha", "cents", "mark", "mark2"]
+    stored = ledger.filter(dated).select(
+        "fecha", money(F.col("monto")).alias("cents"), *_text_marks(F.col("detalle_norm"))
     )
-    stored = ledger.select(
-        F.col("fecha").alias("fecha"),
-        F.col("detalle_norm").alias("text"),
-        money(F.col("monto")).alias("cents"),
-    ).filter(dated)
-    signature = ["fecha", "text", "cents"]
 
     # What the ledger already holds goes first: such rows block nothing.
     free = per_key.join(ledger.select("unique_key"), "unique_key", "left_anti")
@@ -142,7 +164,8 @@ def pick_winners(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     )
     blank_side = (
         free.filter(F.col("blank_first").isNotNull())
-        .withColumn("text", F.lit(""))
+        .drop("mark", "mark2")
+        .select("*", *_text_marks(F.lit("")))
         .join(stored, signature, "left_anti")
         .select("unique_key", "fecha", "cents", "blank_first")
     )
@@ -150,24 +173,24 @@ def pick_winners(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     leads = F.col("blank_first").isNotNull() & (
         F.col("text_first").isNull() | (F.col("blank_first") < F.col("text_first"))
     )
+    # A place is one row's own, so it says whose key wins.
     chosen_blank = (
         both.filter(leads)
         .groupBy("fecha", "cents")
-        .agg(F.min_by("unique_key", "blank_first").alias("unique_key"))
-        .select("unique_key", F.lit(True).alias("blank_wins"))
+        .agg(F.min("blank_first").alias("blank_first"))
+        .select("blank_first", F.lit(True).alias("blank_wins"))
     )
     first = F.when(F.col("blank_wins"), F.col("blank_first")).otherwise(F.col("text_first"))
     return (
-        both.join(chosen_blank, "unique_key", "left")
+        both.join(chosen_blank, "blank_first", "left")
         .select("unique_key", first.alias("_place"))
         .filter(F.col("_place").isNotNull())
-        .select("unique_key", "_place.source_file", "_place.line_no")
     )
 
 
 def split_batch(rows: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keyed ledger rows as (rows to insert, duplicate rows), both with their place."""
-    on = ["unique_key", *PLACE]
+    """Keyed and placed ledger rows as (rows to insert, duplicate rows)."""
+    on = ["unique_key", "_place"]
     return rows.join(winners, on, "left_semi"), rows.join(winners, on, "left_anti")
 
 
@@ -179,19 +202,20 @@ def payload_of(columns=LEDGER_COLUMNS):
 def record_ignored(duplicates: DataFrame, ignored: DataFrame, at=None) -> DataFrame:
     """New ignored entries: the first duplicate row of each key not yet on the list."""
     when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-    return (
+    first = (
         duplicates.groupBy("unique_key")
-        .agg(F.min_by(payload_of(), place()).alias("payload"))
+        .agg(F.min("_place").alias("_place"))
         .join(ignored.select("unique_key"), "unique_key", "left_anti")
-        .withColumn("created_at", when)
     )
+    chosen = duplicates.join(first, ["unique_key", "_place"], "left_semi")
+    return chosen.select("unique_key", payload_of().alias("payload"), when.alias("created_at"))
 
 
 def upsert(
     df: DataFrame, ledger: DataFrame, ignored: DataFrame, at=None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, new ignored entries) of a batch that has passed the cleaning."""
-    rows = to_ledger(drop_ignored(compute_keys(df), ignored, ledger))
+    rows = with_place(to_ledger(drop_ignored(compute_keys(df), ignored, ledger)))
     inserted, duplicates = split_batch(rows, pick_winners(rows, ledger))
     return inserted.select(*LEDGER_COLUMNS), record_ignored(duplicates, ignored, at)
 
@@ -232,7 +256,7 @@ def ingest_batch(
     A row clashes with ledger rows of its own date only, so `ledger` may be the months
     of the batch; `filled` then says whether the whole ledger has rows.
     """
-    rows = wanted_rows(batch, ledger, ignored, tombstones, filled)
+    rows = wanted_rows(with_place(batch), ledger, ignored, tombstones, filled)
     winners = stage(pick_winners(rows, ledger))
     inserted, duplicates = split_batch(rows, winners)
     return (

@@ -55,7 +55,7 @@ def test_split_equals_sequential_inserts(spark):
         if seed % 2:
             # Corrected amounts: the signature then says something the key does not.
             ledger = ledger.withColumn("monto", F.lit(7.25))
-        rows = ing.to_ledger(keyed)
+        rows = ing.with_place(ing.to_ledger(keyed))
         inserted, duplicates = ing.split_batch(rows, ing.pick_winners(rows, ledger))
         got = sorted((r.source_file, r.line_no) for r in inserted.collect())
         want, want_ignored = sequential(keyed.collect(), ledger.collect())
@@ -133,8 +133,15 @@ def test_one_key_in_a_third_of_the_batch(spark):
     batch = adapters.upload_batch(spark, sf)
     copies = F.sequence(F.lit(10_000_000).cast("bigint"), F.lit(10_000_999).cast("bigint"))
     hot = batch.limit(1).withColumn("line_no", F.explode(copies))
-    rows = ing.to_ledger(ing.compute_keys(ing.force_expense(batch.unionByName(hot))))
+    rows = ing.with_place(ing.to_ledger(ing.compute_keys(ing.force_expense(batch.unionByName(hot)))))
     winners = ing.pick_winners(rows, empty(spark, LEDGER))
     assert winners.count() == batch.select("fecha", "detalle_norm", F.abs("monto")).distinct().count()
     plan = winners._jdf.queryExecution().toString()
-    assert "collect_list" not in plan and "Window" not in plan
+    assert "collect_list" not in plan and "Window" not in plan and "SortAggregate" not in plan
+
+
+def test_files_are_numbered_in_name_order(spark):
+    rows = [(f"f{i * 37 % 101}.csv", i % 3) for i in range(303)]
+    placed = ing.with_place(spark.createDataFrame(rows, "source_file string, line_no bigint").repartition(7))
+    got = [(r.source_file, r.line_no) for r in placed.orderBy("_place").collect()]
+    assert got == sorted(rows) and len(set(got)) == placed.select("_place").distinct().count()
