@@ -21,41 +21,47 @@ from pyspark.sql import functions as F
 
 from monedero.llm.common import batch, tune
 
-PAGE = 256
+#: Rows of a page. Smaller ones avoid more scores and cost more steps.
+PAGE = 64
 FANOUT = 16
 #: Vectors of one tree.
 TREE_ROWS = 8192
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 16_384
-#: Components beyond this have inner products that no long holds.
-_LARGEST = float(1 << 30)
-_SLACK = 1e-6
+_LONG = 1 << 63
+#: Scores no long holds are ordered by their bytes above this base.
+_BASE, _BYTES = 1 << 2303, 288
 
 
 def quantised(vector: str, factor: int = 256) -> Column:
-    """floor(factor * x) of every component; null where the vector takes no part.
+    """floor(factor * x) of every component, whole doubles; null where the vector takes no part.
 
-    That holds for null and empty vectors and for null, non-finite or huge components
-    (2^30 and more after scaling).
+    That holds for null and empty vectors and for null or non-finite components. A
+    component whose product no double holds (10^305 and more) is an error.
     """
     scaled = F.transform(F.col(vector), lambda x: x.cast("double") * factor)
-    fine = F.forall(scaled, lambda x: F.coalesce((F.abs(x) < _LARGEST) & ~F.isnan(x), F.lit(False)))
-    return F.when((F.size(vector) > 0) & fine, F.transform(scaled, lambda x: F.floor(x).cast("long")))
+    fine = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    too_large = F.exists(scaled, lambda x: F.abs(x) == float("inf"))
+    error = F.raise_error(F.lit("a component exceeds the largest double after scaling"))
+    whole = F.transform(scaled, lambda x: F.rint(x) - F.when(F.rint(x) > x, 1.0).otherwise(0.0))
+    return F.when((F.size(vector) > 0) & fine, F.when(too_large, error).otherwise(whole))
 
 
 class Tree:
     """A bulk-loaded M-tree; `ids` and `vectors` are reordered so that leaves are slices."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, exact: np.ndarray, power: int):
+        """`vectors` are `exact` divided by 2^power, which keeps squares in range."""
+        self.square = 1 << 2 * power
         norms = (vectors * vectors).sum(axis=1)
         self.reach = float(norms.max())
-        self.points = np.hstack([vectors, np.sqrt(self.reach - norms)[:, None]])
+        self.points = np.hstack([vectors, np.sqrt(np.maximum(self.reach - norms, 0.0))[:, None]])
         self.order: list[np.ndarray] = []
         self.done = 0
         everything = np.arange(len(ids))
         self.root = self._node(everything, 0)
         order = np.concatenate(self.order)
-        self.ids, self.vectors, self.points = ids[order], vectors[order], None
+        self.ids, self.vectors, self.points = ids[order], exact[order], None
 
     def _from(self, router: int, members: np.ndarray) -> np.ndarray:
         delta = self.points[members] - self.points[router]
@@ -86,14 +92,21 @@ class Tree:
             [self._node(members[g], r) for g, r in zip(groups, routers, strict=True)],
         )
 
-    def search(self, query_id: int, q: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
-        """Improve `best`, a heap of (score, -id) of at most k entries."""
-        length = float(q @ q)
+    def search(self, query_id: int, q: np.ndarray, scaled: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
+        """Improve `best`, a heap of (score, -id) of at most k entries.
+
+        Distances, of the `scaled` query, are floats and only rule out; the bound leaves
+        room for their rounding. Scores are exact.
+        """
+        length = float(scaled @ scaled)
         ahead = length + self.reach
-        point = np.append(q, 0.0)
+        point = np.append(scaled, 0.0)
+        slack = 8.0 * np.sqrt(ahead * (len(q) + 16) * 2.0**-52)
 
         def bound() -> float:
-            return np.sqrt(max(0.0, ahead - 2.0 * best[0][0])) + _SLACK if len(best) == k else np.inf
+            if len(best) < k:
+                return np.inf
+            return np.sqrt(max(0.0, ahead - 2.0 * (best[0][0] / self.square))) + slack
 
         queue, tie, far = [(0.0, 0, self.root, None)], 1, bound()
         while queue:
@@ -137,7 +150,16 @@ class Tree:
                     tie += 1
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = pa.schema(
+    [("query_id", pa.int64()), ("vec_id", pa.int64()), ("side", pa.int32()), ("score", pa.int64()), ("beyond", pa.binary())]
+)
+
+
+def _found(query_id: int, vec_id: int, score: int) -> tuple:
+    """A result row: scores no long holds go by the side they leave it on, and by their bytes."""
+    if -_LONG <= score < _LONG:
+        return query_id, vec_id, 0, score, None
+    return query_id, vec_id, 1 if score > 0 else -1, None, (score + _BASE).to_bytes(_BYTES, "big")
 
 
 def _numbers(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,16 +175,25 @@ def _numbers(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def _exact(m: np.ndarray) -> np.ndarray:
     """Floats where all inner products are exact in them, else Python integers."""
     top = int(np.abs(m).max(initial=0))
-    return m.astype(float) if top * top * m.shape[1] < 1 << 52 else m.astype(object)
+    if top * top * m.shape[1] < 1 << 52:
+        return m.astype(float)
+    return np.array([int(x) for x in m.ravel()], object).reshape(m.shape)
+
+
+def _power(m: np.ndarray) -> int:
+    """The power of two that brings all components to at most 1."""
+    top = float(np.abs(m).max(initial=0))
+    return int(np.ceil(np.log2(top))) if top > 1 else 0
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products of every query.
 
-    Both frames hold (vec_id long, vector array<long>). Rows with the query's own id are
-    no candidates; equal scores go to the smaller id. Only vectors of the query's
-    length compare. Rows with a null id or vector take no part; of repeated query ids
-    the smallest vector is asked. Empty tables give no rows.
+    Both frames hold (vec_id long, vector array<double> of whole numbers of any size); all
+    scores are exact. Rows with the query's own id are no candidates; equal scores go to
+    the smaller id. Only vectors of the query's length compare. Rows with a null id or
+    vector take no part; of repeated query ids the smallest vector is asked. A score no
+    long holds is ranked by its value and returned as null. Empty tables give no rows.
     """
     spark = tune(vectors.sparkSession)
     rows = vectors.where("vec_id is not null and vector is not null")
@@ -171,11 +202,11 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, query_block: i
     parts = []
     for no in range(blocks):
         block = asked.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)) == no)
-        parts.append(rows.mapInArrow(_task(spark, block, k), "query_id long, vec_id long, score long"))
+        parts.append(rows.mapInArrow(_task(spark, block, k), "query_id long, vec_id long, side int, score long, beyond binary"))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -197,13 +228,12 @@ def _task(spark, block: DataFrame, k: int):
             if d not in best:
                 return
             _, query_ids, queries = next(x for x in shared.value if x[0] == d)
-            both = _exact(np.vstack([m, queries]))
-            if both.dtype == object:
-                _scan(ids, both[: len(m)], query_ids, both[len(m) :], best[d], k)
-                return
-            tree = Tree(ids, both[: len(m)])
-            for query_id, q, own in zip(query_ids.tolist(), both[len(m) :], best[d], strict=True):
-                tree.search(query_id, q, own, k)
+            both = np.vstack([m, queries])
+            power, exact = _power(both), _exact(both)
+            scaled = np.ldexp(both, -power)
+            tree = Tree(ids, scaled[: len(m)], exact[: len(m)], power)
+            for query_id, q, near, own in zip(query_ids.tolist(), exact[len(m) :], scaled[len(m) :], best[d], strict=True):
+                tree.search(query_id, q, near, own, k)
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -214,23 +244,13 @@ def _task(spark, block: DataFrame, k: int):
         for d in list(waiting):
             plant(d)
         for d, query_ids, _ in shared.value:
-            out = [(q, -i, s) for q, own in zip(query_ids.tolist(), best[d], strict=True) for s, i in own]
+            out = [_found(q, -i, s) for q, own in zip(query_ids.tolist(), best[d], strict=True) for s, i in own]
             if out:
                 yield batch(_FOUND, *map(list, zip(*out, strict=True)))
 
     return run
 
 
-def _scan(ids, vectors, query_ids, queries, best, k) -> None:
-    """Every pair, for components so large that floats would round their distances."""
-    for query_id, q, own in zip(query_ids.tolist(), queries, best, strict=True):
-        for s, i in zip((vectors @ q).tolist(), ids.tolist(), strict=True):
-            if i != query_id:
-                heapq.heappush(own, (s, -i))
-                if len(own) > k:
-                    heapq.heappop(own)
-
-
 def oracle_sql(k: int = 5) -> str:
     return f"""
 WITH v AS (
