@@ -27,7 +27,13 @@ _MONTH_NUMBERS = {
     "ene": 1, "jan": 1, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "may": 5, "jun": 6, "jul": 7, "ago": 8, "aug": 8,
     "sep": 9, "set": 9, "oct": 10, "nov": 11, "dic": 12, "dec": 12,
 }
+_WEEKDAY = (
+    "lun(?:es)?|mar(?:tes)?|mi[eé](?:rcoles)?|jue(?:ves)?|vie(?:rnes)?|s[aá]b(?:ado)?|dom(?:ingo)?"
+    "|mon(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:rs(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?"
+)
 # ----------------------------------------------------------------------------
+# A weekday, and after it a date by numbers, by day and month, or by month and day.
+_AFTER_WEEKDAY = rf"(?i)^(?:{_WEEKDAY})\.?,? +(?=[0-9]{{1,4}}[-/.]|[0-9]{{1,2}} +(?:de )?[a-z]|(?:{_MONTH})\.? +[0-9])"
 _DAY_NAME = rf"(?i)^([0-9]{{1,2}})[ ./-]+(?:de )?({_MONTH})\.?[ ,./-]+(?:del? )?([0-9]{{4}}|[0-9]{{2}})$"
 _NAME_DAY = rf"(?i)^({_MONTH})\.? +([0-9]{{1,2}}),? +([0-9]{{4}})$"
 
@@ -66,13 +72,13 @@ def _numbered(text: Column) -> Column:
     return F.coalesce(F.concat(day, dash, F.try_element_at(numbers, name), dash, year), text)
 
 
-def _free(text: Column, year_first: str = _YEAR_FIRST) -> Column:
-    """What follows the plain layouts: a time after the date, compact dates, month names."""
-    day = _numbered(F.regexp_replace(text, _TIME, ""))
+def _free(text: Column) -> Column:
+    """What follows the plain layouts: weekdays, a time after the date, compact dates, month names."""
+    day = _numbered(F.regexp_replace(F.regexp_replace(text, _TIME, ""), _AFTER_WEEKDAY, ""))
     return (
         F.when(day.rlike(_YEAR_LAST), _day_first(day))
         .when(day.rlike(_SHORT_YEAR), _read_short_year(day))
-        .when(day.rlike(year_first), _read(day, "yyyy-M-d"))
+        .when(day.rlike(_YEAR_FIRST), _read(day, "yyyy-M-d"))
         .when(day.rlike(_COMPACT), F.try_to_date(day, "yyyyMMdd"))
     )
 
@@ -95,15 +101,18 @@ def date_app(c: Column, date_format: str = "YYYY-MM-DD") -> Column:
 
 
 def date_cli(c: Column) -> Column:
-    """Raw-statement rule: day first, then year first with dashes, then month first."""
+    """Raw-statement rule: day first, then year first, then month first.
+
+    Year-first text has the month second; with slashes also the day, where that alone fits.
+    """
     text = _text(c)
-    dashed = _YEAR_FIRST.replace("[-/]", "-")
+    swapped = F.when(F.contains(text, F.lit("/")), _read(text, "yyyy-d-M"))
     return (
         F.when(text.rlike(_YEAR_LAST), _day_first(text))
         .when(text.rlike(_SHORT_YEAR), _read_short_year(text))
-        .when(text.rlike(dashed), _read(text, "yyyy-M-d"))
+        .when(text.rlike(_YEAR_FIRST), F.coalesce(_read(text, "yyyy-M-d"), swapped))
         .when(text.rlike(_TIMESTAMP), _read_timestamp(text))
-        .otherwise(_free(text, dashed))
+        .otherwise(_free(text))
     )
 
 

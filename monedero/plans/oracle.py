@@ -381,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
       WITH {_RAW}, kept AS (SELECT o_orderkey, regexp_replace(amount_text, '[^0-9,.-]', '', 'g') AS k FROM amounts)
       SELECT o_orderkey, TRY_CAST(replace(replace(k, '.', ''), ',', '.') AS DOUBLE) AS monto FROM kept"""
     sql["date_cli"] = f"""WITH {_RAW} SELECT o_orderkey, coalesce({_try('%d-%m-%Y', '%d/%m/%Y', '%Y-%m-%d', '%d-%m-%y',
-      '%d/%m/%y', '%m/%d/%Y', '%d.%m.%Y')}, {_ISO}) AS fecha FROM raw"""
+      '%d/%m/%y', '%m/%d/%Y', '%d.%m.%Y', '%Y/%m/%d', '%Y/%d/%m')}, {_ISO}) AS fecha FROM raw"""
     sql["date_app"] = f"""WITH {_RAW} SELECT o_orderkey, coalesce({_try('%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%d/%m/%Y',
       '%d.%m.%Y', '%m/%d/%Y', '%Y-%d-%m', '%Y/%d/%m', '%d/%m/%y')}, {_ISO}) AS fecha FROM raw"""
     sql["date_app_ydm"] = f"""WITH {_RAW} SELECT o_orderkey, coalesce({_try('%Y-%d-%m', '%Y/%d/%m', '%Y-%m-%d', '%Y/%m/%d',

@@ -74,10 +74,19 @@ def test_dates(spark):
     assert evaluate(spark, free, fn.date_app) == read
     assert evaluate(spark, free, fn.date_cli) == read
     assert evaluate(spark, ["2024/03/05 10:00"], fn.date_app) == [d(2024, 3, 5)]
+    weekdays = [
+        "martes 5 de marzo de 2024", "Mar, 05/03/2024", "Tuesday, March 5, 2024", "mar 5 mar 2024 10:15", "tue 2024-03-05",
+        "Mar 5, 2024", "mar 5 2024", "miércoles", "martes 31/02/2024", "marte 5 mar 2024",
+    ]
+    days = [d(2024, 3, 5)] * 7 + [None] * 3
+    assert evaluate(spark, weekdays, fn.date_app) == days
+    assert evaluate(spark, weekdays, fn.date_cli) == days
+    slashes = ["2024/03/05", "2024/25/03", "2024-25-03", "2024/03/05 08:00", "2024/31/31"]
+    assert evaluate(spark, slashes, fn.date_cli) == [d(2024, 3, 5), d(2024, 3, 25), None, d(2024, 3, 5), None]
     swapped = evaluate(spark, ["2026-08-02", "2026-02-25"], lambda c: fn.date_app(c, "YYYY-DD-MM"))
     assert swapped == [d(2026, 2, 8), d(2026, 2, 25)]
     cli = evaluate(spark, ["05/03/2024", "12/31/2024", "2024-03-05", "31-12-70", "5.3.2024", "2024/03/05"], fn.date_cli)
-    assert cli == [d(2024, 3, 5), d(2024, 12, 31), d(2024, 3, 5), d(1970, 12, 31), d(2024, 3, 5), None]
+    assert cli == [d(2024, 3, 5), d(2024, 12, 31), d(2024, 3, 5), d(1970, 12, 31), d(2024, 3, 5), d(2024, 3, 5)]
     with pytest.raises(ValueError):
         fn.date_app(F.lit("x"), "DD-MM")
 
