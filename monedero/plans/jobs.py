@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Sequence
 from typing import TypeVar
 
@@ -20,7 +21,7 @@ from monedero.operators.rules import (
     teaching_rows,
     with_learned,
 )
-from monedero.schema import MASTER, MERCHANT_RULES, MatchConfig
+from monedero.schema import FILES, MASTER, MERCHANT_RULES, MatchConfig
 from monedero.session import stage, tune
 from monedero.sources import store
 from monedero.sources.statements import read_lines, read_upload
@@ -38,6 +39,7 @@ def run_upload(
     batch_id: int | None = None,
     source: str | None = None,
     at=None,
+    unreadable: dict[str, str] | None = None,
 ) -> dict[str, int]:
     """Read statement files, ingest them into the store under `root`, return the counts.
 
@@ -45,6 +47,9 @@ def run_upload(
     as `rechazadas`) enter the store in one version. Only the ledger's months that the
     batch has rows of are read. Where another writer touches those months meanwhile, the
     upload is computed again from the newer version.
+
+    With `unreadable`, files set aside with the reason of each, the outcome of these and of
+    every file in `path` enters the table `files`.
     """
     raw, flawed = read_upload(read_lines(tune(spark), path), date_format)
     flawed = stage(flawed)
@@ -58,6 +63,8 @@ def run_upload(
         known = now.table("rejected")
         same = [flawed[c].eqNullSafe(known[c]) for c in flawed.columns]
         new = {"ledger": inserted, "ignored": entries, "rejected": flawed.join(known, same, "left_anti")}
+        if unreadable is not None:
+            new["files"] = _outcomes(spark, path, flawed, unreadable, batch_id)
         numbers = counts.first().asDict() | {"rechazadas": flawed.count()}
         store.commit(
             spark, root, append=new, batch_id=batch_id, source=source, base=now,
@@ -68,6 +75,24 @@ def run_upload(
     return repeated(spark, root, attempt)
 
 
+def _same_path(path: str) -> str:
+    """A path as Spark's file metadata spells it."""
+    return re.sub("^file:/+", "file:///", path)
+
+
+def _outcomes(
+    spark: SparkSession, paths: Sequence[str], flawed: DataFrame, unreadable: dict[str, str], batch_id: int | None
+) -> DataFrame:
+    """One row per file: as many as the caller named."""
+    missing = {
+        _same_path(r.source_file): r.reason
+        for r in flawed.filter(F.col("line_no").isNull()).select("source_file", "reason").distinct().collect()
+    }
+    rows = [(p, "rejected" if _same_path(p) in missing else "read", missing.get(_same_path(p)), batch_id) for p in paths]
+    rows += [(p, "unreadable", reason, batch_id) for p, reason in unreadable.items()]
+    return spark.createDataFrame(rows, FILES)
+
+
 def months_in(rows: DataFrame) -> list[str]:
     """The months of the rows: as many values as there are months, whatever the rows."""
     return sorted(r.mes for r in rows.select(store.month_name("fecha").alias("mes")).distinct().collect())

@@ -84,6 +84,15 @@ EXACT_RULES = T.StructType(
         T.StructField("categoria", T.StringType()),
     ]
 )
+# What became of each file of a stream: read, rejected or unreadable.
+FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
 CATEGORIES = T.StructType([T.StructField("nombre", T.StringType())])
 # Rule order is (ord, since, since_id): hand-written rules carry their list
 # position in `ord`; learned rules share one `ord` per run and are ordered

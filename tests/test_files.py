@@ -1,6 +1,7 @@
 """Statement files on disk, the store and the stream."""
 
 import datetime as dt
+import gzip
 import json
 import random
 import re
@@ -172,6 +173,33 @@ def test_stream_in_batches_equals_one_upload(spark, tmp_path):
     assert store.version(spark, root) == 3
 
 
+def test_an_unreadable_file_does_not_stop_the_stream(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "s")
+    folder.mkdir()
+
+    def run():
+        ingest_stream(spark, str(folder), root, str(tmp_path / "ck"), once=True).awaitTermination()
+        (files,) = store.load_tables(spark, root, "files")
+        return {(r.path.rsplit("/", 1)[1], r.outcome, r.batch_id) for r in files.collect()}
+
+    write_csv(folder / "a.csv", [("2024-01-01", "uber", 5)])
+    (folder / "b.csv.gz").write_bytes(b"not compressed")
+    (folder / "c.csv").write_text("fecha,otra\n2024-01-01,1\n")
+    first = {("a.csv", "read", 0), ("b.csv.gz", "unreadable", 0), ("c.csv", "rejected", 0)}
+    assert run() == first
+    assert {r.detalle for r in store.load_ledger(spark, root).collect()} == {"uber"}
+    # Still broken: tried again with the next batch, and set aside again.
+    write_csv(folder / "d.csv", [("2024-01-02", "pan", 6)])
+    second = first | {("d.csv", "read", 1), ("b.csv.gz", "unreadable", 1)}
+    assert run() == second
+    (folder / "b.csv.gz").write_bytes(gzip.compress(b"fecha,detalle,monto\n2024-01-03,cine,7\n"))
+    write_csv(folder / "e.csv", [("2024-01-04", "bus", 8)])
+    assert run() == second | {("b.csv.gz", "read", 2), ("e.csv", "read", 2)}
+    assert {r.detalle for r in store.load_ledger(spark, root).collect()} == {"uber", "pan", "cine", "bus"}
+    (folder / "f.csv.gz").write_bytes(b"bad")  # alone in its batch
+    assert ("f.csv.gz", "unreadable", 3) in run()
+
+
 def test_master_job_learns_for_the_next_run(spark, tmp_path):
     root = str(tmp_path / "store")
     rules = spark.createDataFrame(
