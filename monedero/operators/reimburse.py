@@ -126,16 +126,14 @@ def match_reimbursements(
 
     One expense may serve several credits.
     """
-    best = best_expenses(df, window_days, tol).select(
-        F.col("fecha").alias("_f"), F.col("cents").alias("_c"), "match_id"
-    )
+    best = best_expenses(df, window_days, tol).select("fecha", F.col("cents").alias("_c"), "match_id")
     plain = df.drop("match_id")
-    on = (
-        (F.col("monto") > 0)
-        & (F.col("fecha") == F.col("_f"))
-        & (cents(F.col("monto")) == F.col("_c"))
-    )
-    return plain.join(best, on, "left").drop("_f", "_c")
+    # Only credits meet the answers; all other rows pass by and are not shuffled.
+    credit = F.coalesce((F.col("monto") > 0) & F.col("fecha").isNotNull(), F.lit(False))
+    credits = plain.filter(credit).withColumn("_c", cents(F.col("monto")))
+    answered = credits.join(best, ["fecha", "_c"], "left").select(*plain.columns, "match_id")
+    others = plain.filter(~credit).withColumn("match_id", F.lit(None).cast("string"))
+    return answered.unionByName(others)
 
 
 def net_mine(df: DataFrame) -> DataFrame:

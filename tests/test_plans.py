@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from monedero.operators import metrics, views
+from monedero.operators import metrics, reimburse, views
 from monedero.plans import catalog
 from monedero.sources import store
 
@@ -52,3 +52,26 @@ def test_month_pruning(spark, tmp_path):
     assert "mes" in partition_filters and "1998-03" in partition_filters
     want = views.filter_range(ledger, "1998-03-05", "1998-04-10")
     assert part.count() == want.count() > 0
+
+
+def above(lines, at):
+    """The operators between a line of a plan and its root, by indentation."""
+    out, depth = [], len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if own < depth:
+            out.append(line.lstrip(" :+-").split("(")[0].split(" ")[0])
+            depth = own
+    return out
+
+
+def test_only_credits_meet_the_reimbursement_answers(no_broadcast, tmp_path):
+    path = str(tmp_path / "ledger")
+    catalog.queries()["export_backup"](no_broadcast, SF).write.parquet(path)
+    found = reimburse.match_reimbursements(no_broadcast.read.parquet(path))
+    lines = [x for x in plan_of(found).splitlines() if x.strip()]
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x]
+    # The last scan is that of all other rows.
+    assert "Union" in above(lines, scans[-1]) and "Exchange" not in above(lines, scans[-1])
+    assert "Exchange" in above(lines, scans[0])
+    assert found.count() == no_broadcast.read.parquet(path).count()
