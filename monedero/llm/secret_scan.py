@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monedero.llm.common import Scratch, sampled, tune
+from monedero.llm.common import sampled, tune
 
 # Names of secrets, alone or as a part of an identifier: DB_PASSWORD, client_secret, accessToken.
 _NAMES = (
@@ -231,21 +231,22 @@ def _whole(value: Column) -> Column:
 def redact(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """All documents, with confirmed secrets replaced by a mark.
 
-    A row loses the secrets found in itself: rows are numbered and written once, so keys
-    may be null or repeat. Only rows with a candidate are joined to their findings.
+    A text loses the secrets found in itself: findings are keyed by a digest of text and
+    source, so doc_id may be null or repeat, and equal rows are treated once. Only rows with
+    a candidate are joined to their findings.
     """
-    row = "_redact_row"
-    rows = Scratch(docs.sparkSession).stage(docs.withColumn(row, F.monotonically_increasing_id()))
     having = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
+    keyed = docs.where(having).withColumn("_redact_key", F.sha2(F.concat_ws("\0", source, "text"), 256))
     secrets = (
-        score(candidates(rows, key=row), model)
+        score(candidates(keyed, key="_redact_key"), model)
         .where(F.col("score") >= threshold)
-        .groupBy(F.col("doc_id").alias(row))
+        .groupBy(F.col("doc_id").alias("_redact_key"))
         .agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("minus"), "value"))).alias("_secrets"))
     )
-    joined = rows.where(having).join(secrets, row, "left")
+    joined = keyed.join(secrets, "_redact_key", "left")
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(
         F.aggregate("_secrets", F.col("text"), lambda t, s: F.regexp_replace(t, _whole(s["value"]), F.lit(MARK)))
     )
     changed = joined.withColumn("text", text).select(*docs.columns)
-    return rows.where(~having).select(*docs.columns).union(changed)
+    return docs.where(~having).union(changed)
