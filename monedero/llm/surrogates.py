@@ -1,12 +1,15 @@
 """PII surrogates: keyed, type-consistent replacements.
 
 Digits of phones, cards, numbers and addresses are permuted by a keyed bijection
-on numbers of the same form, so two of them never get one replacement. Words of
-e-mail addresses and names come from keyed hashes and are checked: where two
-entities share a replacement, or one equals an entity of the corpus, all but one
-are drawn again until none clash. Equal entities get equal replacements everywhere,
-with no state but the key and the few redrawn ones, which are joined to their
-documents. Known given names keep their gender, words their script and case,
+on numbers of the same form, and listed given names by one on the names of their
+script and gender, so two of them never get one replacement. Words of e-mail
+addresses and other names come from keyed hashes and are checked: where two entities
+share a replacement, or one equals an entity of the corpus, all but one are drawn
+again, in longer words after some tries, until none clash. Numbers whose class has no
+value left that the corpus lacks fall back to their bijection, which stays distinct;
+listed given names name nobody by themselves and are never drawn again. Equal entities
+get equal replacements everywhere, with no state but the key and the few redrawn ones,
+which are joined to their documents. Names keep script, case and, where listed, gender;
 numbers their punctuation and validity.
 """
 
@@ -17,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +29,18 @@ from monedero.llm.common import Scratch, batch, tune
 
 # Given names by script and gender, titles, and syllables by script.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael David Thomas Peter Paul Hans Klaus Carlos Miguel Pierre Luc".split(),
-    ("latin", "f"): "Mary Linda Susan Anna Laura Julia Emma Sophie Claudia Petra Carmen Lucia Marie Claire".split(),
-    ("cyrillic", "m"): "Иван Пётр Павел Сергей Николай Дмитрий".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья".split(),
+    ("latin", "m"): (
+        "James John Robert Michael David Thomas Peter Paul Hans Klaus Carlos Miguel Pierre Luc William Richard Joseph "
+        "Charles Daniel Matthew Anthony Mark George Andrew Stefan Wolfgang Jürgen Javier Antonio Pablo Diego Jean Jacques "
+        "Louis Antoine Marco Luca"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Linda Susan Anna Laura Julia Emma Sophie Claudia Petra Carmen Lucia Marie Claire Elizabeth Jennifer Patricia "
+        "Barbara Sarah Karen Nancy Margaret Emily Alice Monika Sabine Ursula Isabel Pilar Elena Rosa Camille Juliette "
+        "Charlotte Louise Giulia Chiara"
+    ).split(),
+    ("cyrillic", "m"): "Иван Пётр Павел Сергей Николай Дмитрий Алексей Андрей Михаил Владимир".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Екатерина Людмила".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Herr Frau Señor Señora Monsieur Madame Mme".split()
 SYLLABLES = {
@@ -36,6 +48,14 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но па ра ре ро са се со та те то ва ве".split(),
     "greek": "βα βε γα γο δα δε κα κο λα λε μα με να νε πα ρα ρε σα σε τα τε".split(),
 }
+#: First and last letters that words of other scripts are drawn from.
+LETTERS = {
+    "cjk": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3), "hiragana": (0x3042, 0x3093), "katakana": (0x30A2, 0x30F3),
+    "arabic": (0x0628, 0x063A), "hebrew": (0x05D0, 0x05EA), "devanagari": (0x0915, 0x0939), "thai": (0x0E01, 0x0E2E),
+    "armenian": (0x0561, 0x0586), "georgian": (0x10D0, 0x10F0), "bengali": (0x0995, 0x09A8),
+}
+#: Tries after which a drawn word grows, and after which a number falls back to its bijection.
+TRIES = 3
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
@@ -49,6 +69,12 @@ _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.?[ ]+({_WORD})(?:[ ]+({_WORD})
 _GENDER = {name: (script, sex) for (script, sex), names in GIVEN.items() for name in names}
 _PAIR = re.compile(rf"\b({'|'.join(sorted(_GENDER))}) ({_WORD})")
 _TOKEN = re.compile(_WORD)
+#: Kinds whose replacements come from a bijection: distinct without a check.
+_BIJECTIVE = ("ip", "card", "ssn", "phone")
+_HINTS = ahocorasick.Automaton()
+for _hint in (*TITLES, *_GENDER):
+    _HINTS.add_word(_hint, "title" if _hint in TITLES else "name")
+_HINTS.make_automaton()
 
 
 def _prf(key: bytes, *parts) -> int:
@@ -83,26 +109,32 @@ def _walk(value: str, step, same) -> str:
     return out
 
 
-def _ip_class(n: int) -> str:
-    a, b = n >> 24, n >> 16 & 255
-    if a in (0, 10, 127) or a >= 224:
-        return str(min(a, 224))
-    return "172" if a == 172 and 16 <= b < 32 else "192" if (a, b) == (192, 168) else "public"
+#: First address and size of the classes that surrogates stay in; all others are public.
+_IP_CLASSES = (
+    (0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16),
+    (224 << 24, 1 << 29),
+)
+
+
+def _ip_class(n: int) -> tuple[int, int]:
+    return next(((first, size) for first, size in _IP_CLASSES if first <= n < first + size), (0, 1 << 32))
 
 
 def _ip(key: bytes, text: str, tweak: str) -> str:
+    """A bijection on the addresses of a class, by walking until the result is one of them."""
     n = int.from_bytes(bytes(map(int, text.split("."))), "big")
-    kind = _ip_class(n)
-    step = lambda x: int(permute(key, str(x).zfill(10), tweak))
-    out = step(n)
-    while out >> 32 or _ip_class(out) != kind:
+    first, size = own = _ip_class(n)
+    width, tweak = len(str(size - 1)), f"{tweak}/{first}/{size}"
+    step = lambda x: int(permute(key, str(x).zfill(width), tweak))
+    out = step(n - first)
+    while out >= size or _ip_class(first + out) != own:
         out = step(out)
-    return ".".join(map(str, out.to_bytes(4, "big")))
+    return ".".join(map(str, (first + out).to_bytes(4, "big")))
 
 
 def _script(word: str) -> str:
     name = unicodedata.name(word[0], "").split(" ")[0].lower()
-    return name if name in SYLLABLES else "latin"
+    return name if name in SYLLABLES or name in LETTERS else "latin"
 
 
 def _case(like: str, word: str) -> str:
@@ -117,9 +149,16 @@ def _spell(key: bytes, script: str, count: int, *parts) -> str:
     return "".join(out)
 
 
+def _letters(key: bytes, script: str, count: int, *parts) -> str:
+    first, last = LETTERS[script]
+    return "".join(chr(first + _prf(key, "letter", i, *parts) % (last - first + 1)) for i in range(count))
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The replacement of a canonical entity in canonical form."""
-    tweak = f"{kind}/{attempt}"
+    if kind in _BIJECTIVE and attempt > TRIES:
+        attempt = 0
+    tweak, longer = f"{kind}/{attempt}", attempt // TRIES
     if kind == "ip":
         return _ip(key, entity, tweak)
     if kind == "card":
@@ -131,15 +170,19 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         local, _, domain = entity.partition("@")
         digits = sum(c.isdigit() for c in local)
         tail = str(_prf(key, "tail", entity, attempt) % 10**digits).zfill(digits) if digits else ""
-        name = _spell(key, "latin", 3, entity, attempt) + "." + _spell(key, "latin", 3, entity, attempt, 2) + tail
+        count = 3 + longer
+        name = _spell(key, "latin", count, entity, attempt) + "." + _spell(key, "latin", count, entity, attempt, 2) + tail
         labels = domain.split(".")
         return f"{name}@{'.'.join(_spell(key, 'latin', 5, 'label', x) for x in labels[:-1])}.{labels[-1]}"
     known = _GENDER.get(entity.capitalize())
-    if known and attempt == 0:  # A shifted list is a bijection that keeps script and gender.
+    if known:  # A shifted list is a bijection that keeps script and gender.
         names = GIVEN[known]
         shift = 1 + _prf(key, *known) % (len(names) - 1)
         return names[(names.index(entity.capitalize()) + shift) % len(names)].lower()
-    return _spell(key, _script(entity), 5, entity, attempt)
+    script = _script(entity)
+    if script in LETTERS:
+        return _letters(key, script, max(2, len(entity)) + longer, entity, attempt)
+    return _spell(key, script, 5 + longer, entity, attempt)
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -156,10 +199,10 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 out.append((m.start(), m.end(), kind, ".".join(str(int(x)) for x in own.split("."))))
         else:
             out.append((m.start(), m.end(), kind, re.sub(r"\D", "", own)))
-    names = set()
-    if any(t in text for t in TITLES):
+    names, hints = set(), {kind for _, kind in _HINTS.iter(text)}
+    if "title" in hints:
         names |= {w for m in _TITLED.finditer(text) for w in m.groups() if w and w[0].isupper()}
-    if any(n in text for n in _GENDER):
+    if "name" in hints:
         names |= {w for m in _PAIR.finditer(text) for w in m.groups() if w[0].isupper()}
     names = {w for w in names if len(w) > 1 and w not in TITLES}
     if names:  # Later bare mentions of a name mean the same person.
@@ -222,17 +265,25 @@ def _redraw(key: bytes):
 
 
 def settle(mentions: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """(kind, entity, attempt): the entities whose replacement had to be drawn again."""
+    """(kind, entity, attempt): the entities whose replacement had to be drawn again.
+
+    Numbers that found no value free after `TRIES` tries are left with their bijection:
+    it gives each a value of its own, which is one of the corpus, while all values drawn
+    again are not. So the loop ends: other kinds draw from ever longer words.
+    """
+    listed = [n.lower() for n in _GENDER]
     table = scratch.stage(
         mentions.groupBy("kind", "entity").agg(F.first("new").alias("new")).withColumn("attempt", F.lit(0))
     )
-    real = table.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
+    settled = (F.col("kind") == "name") & F.col("entity").isin(listed)
+    real = table.where(~settled).select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
     while True:
         shared = table.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("owner"), F.count("*").alias("n"))
         clash = shared.join(real, ["kind", "new"], "left").where((F.col("n") > 1) | F.col("real"))
         bad = scratch.stage(
             table.join(clash, ["kind", "new"])
             .where(F.col("real") | (F.col("entity") != F.col("owner.entity")))
+            .where(~settled & ~(F.col("kind").isin(*_BIJECTIVE) & (F.col("attempt") > TRIES)))
             .select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         )
         if bad.isEmpty():
