@@ -199,25 +199,33 @@ def payload_of(columns=LEDGER_COLUMNS):
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def record_ignored(duplicates: DataFrame, ignored: DataFrame, at=None) -> DataFrame:
-    """New ignored entries: the first duplicate row of each key not yet on the list."""
+def record_ignored(duplicates: DataFrame, ignored: DataFrame, at=None, rows: DataFrame | None = None) -> DataFrame:
+    """New ignored entries: the first duplicate row of each key not yet on the list.
+
+    `rows`, where given, are all rows the duplicates were split from. The place of a
+    duplicate is no winner's, so the entries are picked from them without a second split.
+    """
     when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
     first = (
         duplicates.groupBy("unique_key")
         .agg(F.min("_place").alias("_place"))
         .join(ignored.select("unique_key"), "unique_key", "left_anti")
     )
-    chosen = duplicates.join(first, ["unique_key", "_place"], "left_semi")
+    chosen = (duplicates if rows is None else rows).join(first, ["unique_key", "_place"], "left_semi")
     return chosen.select("unique_key", payload_of().alias("payload"), when.alias("created_at"))
 
 
 def upsert(
     df: DataFrame, ledger: DataFrame, ignored: DataFrame, at=None
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, new ignored entries) of a batch that has passed the cleaning."""
-    rows = with_place(to_ledger(drop_ignored(compute_keys(df), ignored, ledger)))
-    inserted, duplicates = split_batch(rows, pick_winners(rows, ledger))
-    return inserted.select(*LEDGER_COLUMNS), record_ignored(duplicates, ignored, at)
+    """(rows to insert, new ignored entries) of a batch that has passed the cleaning.
+
+    The keyed rows are written once, so keys are hashed one time, and so are the winners.
+    """
+    rows = stage(to_ledger(drop_ignored(compute_keys(with_place(df)), ignored, ledger)))
+    winners = stage(pick_winners(rows, ledger))
+    inserted, duplicates = split_batch(rows, winners)
+    return inserted.select(*LEDGER_COLUMNS), record_ignored(duplicates, ignored, at, rows)
 
 
 def clean_batch(raw: DataFrame, rules: DataFrame) -> DataFrame:
@@ -237,8 +245,8 @@ def ingest(
 
     `counts` has one row: inserted, duplicates, rows dropped as deleted, and rows
     dropped because their key is on the ignored list. The cleaned batch is written
-    once, so files are parsed and keys hashed one time, and so are the winners,
-    which all three results share.
+    once, so files are parsed and keys hashed one time, and so are its wanted rows
+    and the winners, which the results share.
     """
     return ingest_batch(stage(clean_batch(raw, rules)), ledger, ignored, tombstones, at)
 
@@ -256,12 +264,12 @@ def ingest_batch(
     A row clashes with ledger rows of its own date only, so `ledger` may be the months
     of the batch; `filled` then says whether the whole ledger has rows.
     """
-    rows = wanted_rows(with_place(batch), ledger, ignored, tombstones, filled)
+    rows = stage(wanted_rows(with_place(batch), ledger, ignored, tombstones, filled))
     winners = stage(pick_winners(rows, ledger))
     inserted, duplicates = split_batch(rows, winners)
     return (
         inserted.select(*LEDGER_COLUMNS),
-        record_ignored(duplicates, ignored, at),
+        record_ignored(duplicates, ignored, at, rows),
         ingest_counts(batch, winners, ledger, ignored, tombstones, filled),
     )
 

@@ -145,3 +145,32 @@ def test_files_are_numbered_in_name_order(spark):
     placed = ing.with_place(spark.createDataFrame(rows, "source_file string, line_no bigint").repartition(7))
     got = [(r.source_file, r.line_no) for r in placed.orderBy("_place").collect()]
     assert got == sorted(rows) and len(set(got)) == placed.select("_place").distinct().count()
+
+
+def test_upsert_hashes_each_key_once(spark):
+    """Both results are read from written rows; the keys are not computed again for every use."""
+    rows = [
+        ("a.csv", 1, dt.date(2024, 1, 1), "uber", "uber", -5.0),
+        ("a.csv", 2, dt.date(2024, 1, 1), "Uber", "uber", 5.0),
+        ("b.csv", 1, dt.date(2024, 1, 1), "UBER", "uber", 5.0),
+        ("b.csv", 2, None, "---", "", 7.25),
+    ]
+    batch = ing.force_expense(spark.createDataFrame(rows, RAW))
+    results = ing.upsert(batch, empty(spark, LEDGER), empty(spark, IGNORED), "2024-01-01")
+    inserted, ignored = results
+    assert sorted(r.detalle for r in inserted.collect()) == ["---", "uber"]
+    assert [r.payload.count('"detalle":"Uber"') for r in ignored.collect()] == [1]
+    for df in results:
+        assert "sha2(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ingest_results_share_written_rows(spark):
+    """The deleted and the ignored rows are taken out one time, not for every result."""
+    raw = spark.createDataFrame(random_batch(1, 20), RAW)
+    ledger, ignored = empty(spark, LEDGER), empty(spark, IGNORED)
+    deleted = ing.compute_keys(ing.force_expense(raw)).select(
+        "unique_key", F.current_timestamp().alias("deleted_at")
+    ).limit(1).localCheckpoint()
+    inserted, entries, _ = ing.ingest(raw, ledger, ignored, deleted, empty(spark, EXACT_RULES), "2024-01-01")
+    for df in (inserted, entries):
+        assert "deleted_at" not in df._jdf.queryExecution().analyzed().toString()
