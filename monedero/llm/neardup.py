@@ -16,7 +16,9 @@ hashes. Documents with equal sets are one class, and only classes are compared.
    Values that would make too many such pairs (passages that many texts share) are
    ordered behind all others. Documents whose sketch holds several of those are
    indexed by the exact prefix of their full set in that order instead (the shortest
-   that any pair over the threshold must share a value in), so no link is lost.
+   that any pair over the threshold must share a value in), so no link is lost. They
+   meet hubs of these lists first, chosen by how common all their values are: the
+   few retained ones leave the middle of a large group level with many others.
 
 Nothing of the corpus is collected or broadcast by hint; lists are joined, never
 gathered, and hubs' joins are left to Spark's splitting of skewed partitions.
@@ -221,7 +223,9 @@ class _Search:
             .select(F.col("id").alias("a"), "b")
         )
         if not special.isEmpty():
-            pairs = pairs.union(self._special_pairs(special, hot))
+            prefix = self._prefixes(special, hot)
+            self.confirm(self._hub_pairs(prefix, hot))
+            pairs = pairs.union(self._special_pairs(prefix, special, hot))
         self.confirm(pairs.distinct())
 
     def _mostly_hot(self, hot: DataFrame) -> DataFrame:
@@ -238,8 +242,8 @@ class _Search:
         cross = (F.col("all") * F.col("all") - F.col("same")) / 2
         return counts.select("value", _level(cross).alias("level")).where("level > 0")
 
-    def _special_pairs(self, special: DataFrame, hot: DataFrame) -> DataFrame:
-        """Candidates of documents that share mostly hot values, by exact prefixes."""
+    def _prefixes(self, special: DataFrame, hot: DataFrame) -> DataFrame:
+        """The exact prefixes of documents that share mostly hot values; `weight` says how hot their full sets are."""
         whole = self.sets.join(special, "id").mapInArrow(_explode_set, "id long, n long, value long")
         ranked = whole.join(hot, "value", "left").select(
             "id", "n", F.struct(F.coalesce("level", F.lit(0)).alias("level"), "value").alias("at")
@@ -248,11 +252,23 @@ class _Search:
         length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
         prefix = (
             ranked.groupBy("id", "n")
-            .agg(F.sort_array(F.collect_list("at")).alias("all"))
-            .select("id", "n", F.slice("all.value", F.lit(1), length.cast("int")).alias("all"))
-            .select("id", "n", F.slice("all", 1, _EARLIER).alias("early"), F.posexplode("all").alias("place", "value"))
+            .agg(F.sort_array(F.collect_list("at")).alias("all"), F.sum("at.level").alias("weight"))
+            .select("id", "n", "weight", F.slice("all.value", F.lit(1), length.cast("int")).alias("all"))
+            .select("id", "n", "weight", F.slice("all", 1, _EARLIER).alias("early"), F.posexplode("all").alias("place", "value"))
             .withColumn("early", F.slice("early", F.lit(1), F.least("place", F.lit(_EARLIER))))
         )
+        return self.scratch.stage(prefix)
+
+    def _hub_pairs(self, prefix: DataFrame, hot: DataFrame) -> DataFrame:
+        """Candidates of which one is a hub: of each part of a hot value's list, the document of the hottest set."""
+        part = F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("part")
+        hub = F.max(F.struct("weight", "id")).alias("hub")
+        hubs = prefix.join(hot, "value", "left_semi").groupBy("value", part).agg(hub).select("hub.id").distinct()
+        entries = self.scratch.stage(self._with_comp(prefix, self.comps))
+        return self._prefix_pairs(entries, entries.join(hubs, "id", "left_semi"), F.col("id") != F.col("id_b"))
+
+    def _special_pairs(self, prefix: DataFrame, special: DataFrame, hot: DataFrame) -> DataFrame:
+        """All candidates of documents that share mostly hot values."""
         prefix = self.scratch.stage(self._with_comp(prefix, self.comps).withColumn("special", F.lit(True)))
         usual = self._with_comp(self.index.join(special, "id", "left_anti").select("value", "id", "n"), self.comps)
         usual = usual.join(hot, "value", "left_anti").select(
@@ -260,6 +276,10 @@ class _Search:
             F.lit(False).alias("special"),
         )
         other = usual.union(prefix.select(*usual.columns))
+        return self._prefix_pairs(prefix, other, ~F.col("special_b") | (F.col("id") < F.col("id_b")))
+
+    def _prefix_pairs(self, prefix: DataFrame, other: DataFrame, once: Column) -> DataFrame:
+        """Pairs of different components that meet in `value`, as far as `once` lets them."""
         other = other.select("value", *(F.col(c).alias(f"{c}_b") for c in other.columns if c != "value"))
         # A pair is met at its first common value: what follows there must reach the
         # overlap that the threshold asks for, and nothing before may be common.
@@ -269,7 +289,7 @@ class _Search:
             prefix.join(other, "value")
             .where(
                 (F.col("comp") != F.col("comp_b"))
-                & (~F.col("special_b") | (F.col("id") < F.col("id_b")))
+                & once
                 & _near_size("n", "n_b", self.percent)
                 & (room >= need)
                 & ~F.arrays_overlap("early", "early_b")
