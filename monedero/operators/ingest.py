@@ -325,14 +325,17 @@ def dedup_latest(ledger: DataFrame) -> DataFrame:
     )
 
 
-def merge_master(master: DataFrame, new: DataFrame, master_is_unique: bool = False) -> DataFrame:
+def merge_master(
+    master: DataFrame, new: DataFrame, master_is_unique: bool = False, new_is_fresh: bool = False
+) -> DataFrame:
     """Master rows plus the new rows whose id it lacks, one row per id.
 
     A master row always beats a new one. Equal ids mean equal date, text and
     amount, so among equals the first by the remaining columns stays. A master
-    made by this function is unique and need not be looked through again.
+    made by this function is unique and need not be looked through again, nor new
+    rows of which none has an id of the master.
     """
-    fresh = new.join(master.select("id"), "id", "left_anti").select(*new.columns)
+    fresh = new if new_is_fresh else new.join(master.select("id"), "id", "left_anti").select(*new.columns)
     known = master if master_is_unique else first_per_id(master)
     return known.unionByName(first_per_id(fresh), allowMissingColumns=True)
 

@@ -123,12 +123,10 @@ def update_master(
     """
     fresh = new.join(master.select("id"), "id", "left_anti").select(*new.columns)
     fresh = mark_own_transfers(apply_merchant_rules(fresh, rules), cfg.account_aliases)
+    # Expenses, credits and answers are taken from the merged rows, which are put together once.
+    whole = stage(ing.merge_master(master, fresh, master_is_unique, new_is_fresh=True))
     merged = net_mine(
-        match_reimbursements(
-            ing.merge_master(master, fresh, master_is_unique),
-            cfg.reimbursement_window_days,
-            cfg.reimbursement_amount_tolerance,
-        )
+        match_reimbursements(whole, cfg.reimbursement_window_days, cfg.reimbursement_amount_tolerance)
     )
     columns = [f.name for f in MASTER if f.name in merged.columns]
     return merged.select(*columns), learn_merchant_rules(merged, rules)

@@ -213,3 +213,19 @@ def test_master_in_batches_equals_whole_runs(spark, tmp_path):
     rows = {r.id: r for r in store.load_master(spark, root).collect()}
     assert rows["e"].categoria == "Taxi" and rows["i"].categoria == "Nuevo" and rows["c"].categoria == "Banco"
     assert rows["d"].match_id == "a"
+
+
+def test_master_is_merged_once(spark):
+    """The results read the merged rows; a plan that merges them again for each use holds the first row of every id."""
+    rules = spark.createDataFrame([(0, None, None, "SALDO", "Banco")], "ord bigint, since date, since_id string, key string, categoria string")
+    master = master_rows(spark, BATCHES[0] + BATCHES[0][:1])
+    new = master_rows(spark, [*BATCHES[1], ("k", "2024-05-01", "SALDO", 5.0, None), ("k", "2024-05-01", "SALDO", 5.0, None)])
+    merged, learned = jobs.update_master(new, master, rules, MatchConfig())
+    got = {r.id: (r.categoria, r.match_id) for r in merged.collect()}
+    assert got == {
+        "a": ("Taxi", None), "b": (None, None), "c": (None, None), "d": (None, "a"), "e": (None, None), "k": ("Banco", None),
+    }
+    assert merged.count() == 6 and {(r.key, r.categoria) for r in learned.collect()} == {("SALDO", "Banco"), ("UBER", "Taxi")}
+    for out in (merged, learned):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "min_by(" not in plan
