@@ -111,26 +111,35 @@ def learn_merchant_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     and takes the new category; new keys come after all known ones, ordered by
     the first row that taught them.
     """
-    rows = teaching_rows(df)
-    return with_learned(rules, newest_teachers(rows).join(first_teachers(rows), "key"))
+    # Both teachers of a merchant in one aggregate: the rows are made once.
+    learned = teaching_rows(df).groupBy("key").agg(_newest("categoria"), _first_teacher())
+    return with_learned(rules, learned.select("key", "categoria", *_since()))
+
+
+def _row_order() -> Column:
+    return F.struct(F.col("fecha").isNull(), "fecha", "id")
+
+
+def _newest(column: str) -> Column:
+    return F.max_by(column, _row_order()).alias(column)
+
+
+def _first_teacher() -> Column:
+    return F.min(_row_order()).alias("_first")
+
+
+def _since() -> list[Column]:
+    return [F.col("_first.fecha").alias("_since"), F.col("_first.id").alias("_sid")]
 
 
 def newest_teachers(rows: DataFrame) -> DataFrame:
     """(key, fecha, id, categoria) of the newest row of each merchant; rows without a date are newest."""
-    newest = F.struct(F.col("fecha").isNull(), "fecha", "id")
-    return rows.groupBy("key").agg(
-        F.max_by("fecha", newest).alias("fecha"),
-        F.max_by("id", newest).alias("id"),
-        F.max_by("categoria", newest).alias("categoria"),
-    )
+    return rows.groupBy("key").agg(_newest("fecha"), _newest("id"), _newest("categoria"))
 
 
 def first_teachers(rows: DataFrame) -> DataFrame:
     """(key, since, since_id) of the first row of each merchant."""
-    first = F.min(F.struct(F.col("fecha").isNull(), "fecha", "id"))
-    return rows.groupBy("key").agg(first.alias("_first")).select(
-        "key", F.col("_first.fecha").alias("_since"), F.col("_first.id").alias("_sid")
-    )
+    return rows.groupBy("key").agg(_first_teacher()).select("key", *_since())
 
 
 def with_learned(rules: DataFrame, learned: DataFrame) -> DataFrame:

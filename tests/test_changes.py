@@ -229,3 +229,4 @@ def test_master_is_merged_once(spark):
     for out in (merged, learned):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftAnti" not in plan and "min_by(" not in plan
+    assert learned._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [key") == 1
