@@ -345,3 +345,14 @@ def first_per_id(df: DataFrame) -> DataFrame:
     order = F.struct("fecha", "detalle", "monto", "categoria")
     row = F.struct(*df.columns)
     return df.groupBy("id").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+
+
+def once_per_id(df: DataFrame) -> DataFrame:
+    """`first_per_id` of a written table: only rows whose id comes again are compared and shuffled whole."""
+    h = F.xxhash64("id")
+    again = stage(df.groupBy(h.alias("_h")).count().filter(F.col("count") > 1).select("_h"))
+    if again.isEmpty():
+        return df
+    marked = df.withColumn("_h", h)
+    alone = marked.join(again, "_h", "left_anti").select(*df.columns)
+    return alone.unionByName(first_per_id(marked.join(again, "_h", "left_semi").select(*df.columns)))

@@ -132,14 +132,16 @@ def _since() -> list[Column]:
     return [F.col("_first.fecha").alias("_since"), F.col("_first.id").alias("_sid")]
 
 
-def newest_teachers(rows: DataFrame) -> DataFrame:
-    """(key, fecha, id, categoria) of the newest row of each merchant; rows without a date are newest."""
-    return rows.groupBy("key").agg(_newest("fecha"), _newest("id"), _newest("categoria"))
-
-
-def first_teachers(rows: DataFrame) -> DataFrame:
-    """(key, since, since_id) of the first row of each merchant."""
-    return rows.groupBy("key").agg(_first_teacher()).select("key", *_since())
+def merged_teachers(rows: DataFrame, teachers: DataFrame) -> DataFrame:
+    """(key, fecha, id, categoria, _since, _sid): the newest row of each merchant among new rows and
+    earlier teachers, and the first of the new rows; rows without a date are newest."""
+    columns = ["key", "fecha", "id", "categoria"]
+    every = rows.select(*columns, F.lit(True).alias("_new")).unionByName(
+        teachers.select(*columns, F.lit(False).alias("_new"))
+    )
+    first = F.min(F.when(F.col("_new"), _row_order())).alias("_first")
+    newest = F.max_by(F.struct(*columns[1:]), _row_order()).alias("_newest")
+    return every.groupBy("key").agg(newest, first).select("key", "_newest.*", *_since())
 
 
 def with_learned(rules: DataFrame, learned: DataFrame) -> DataFrame:

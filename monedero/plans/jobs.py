@@ -14,10 +14,9 @@ from monedero.operators import ingest as ing
 from monedero.operators.reimburse import match_reimbursements, net_mine
 from monedero.operators.rules import (
     apply_merchant_rules,
-    first_teachers,
     learn_merchant_rules,
     mark_own_transfers,
-    newest_teachers,
+    merged_teachers,
     teaching_rows,
     with_learned,
 )
@@ -161,6 +160,8 @@ def run_update_master(
     """
     tune(spark)
     new = stage(new.select(*[f.name for f in MASTER if f.name in new.columns]))
+    # Equal ids are settled once, before any attempt: only their rows are compared.
+    once = ing.once_per_id(new)
     days = cfg.reimbursement_window_days
 
     def attempt(now: store.Version) -> DataFrame:
@@ -169,7 +170,7 @@ def run_update_master(
             known = rules.select(*[f.name for f in MERCHANT_RULES])
         # An id says its date, so a known row is in the same month.
         held = now.table("master", months_in(new)).select("id")
-        fresh = ing.first_per_id(new.join(held, "id", "left_anti").select(*new.columns))
+        fresh = once.join(held, "id", "left_anti").select(*new.columns)
         fresh = stage(mark_own_transfers(apply_merchant_rules(fresh, known), cfg.account_aliases))
         touched = set().union(*[_next_months(m, days, 1) for m in months_in(fresh)])
         before = set().union(*[_next_months(m, days, -1) for m in touched]) - touched
@@ -182,9 +183,9 @@ def run_update_master(
         teachers = now.table("merchant_teachers")
         everything = now.tables.get("master") and not now.tables.get("merchant_teachers")
         taught = now.table("master").unionByName(fresh, allowMissingColumns=True) if everything else fresh
-        rows = teaching_rows(taught).select(*teachers.columns)
-        newest = stage(newest_teachers(rows.unionByName(teachers)))
-        learned = stage(with_learned(known, newest.join(first_teachers(rows), "key", "left")))
+        taught_by = stage(merged_teachers(teaching_rows(taught), teachers))
+        newest = taught_by.select(*teachers.columns)
+        learned = stage(with_learned(known, taught_by))
         store.commit(
             spark,
             root,

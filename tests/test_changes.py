@@ -4,9 +4,11 @@ import datetime as dt
 
 import pytest
 
+from monedero.operators import ingest as ing
 from monedero.plans import changes, jobs
 from monedero.plans.jobs import _next_months
 from monedero.schema import MASTER, MatchConfig
+from monedero.session import stage
 from monedero.sources import store
 
 ROWS = [
@@ -230,3 +232,19 @@ def test_master_is_merged_once(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftAnti" not in plan and "min_by(" not in plan
     assert learned._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [key") == 1
+
+
+def test_rows_of_single_ids_are_not_compared(spark, tmp_path):
+    """Ids that come once pass as they are; the others, and rows without an id, give one row each."""
+    root = str(tmp_path / "m")
+    once = stage(master_rows(spark, BATCHES[0]))
+    assert ing.once_per_id(once) is once
+    again = stage(master_rows(spark, [*BATCHES[0], *BATCHES[1], (None, "2024-01-01", "X*1", 1.0, None), (None, None, "X*2", 2.0, None)]))
+    want = ing.first_per_id(again).collect()
+    assert len(want) == 6 and sorted(map(str, ing.once_per_id(again).collect())) == sorted(map(str, want))
+    # A table not written yet takes no join: the planner knows that it is empty.
+    empty = store.current(spark, root).table("master")
+    assert empty.schema.names == MASTER.names and empty.count() == 0
+    joined = once.join(empty.select("id"), "id", "left_anti").unionByName(empty, allowMissingColumns=True)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan

@@ -69,6 +69,32 @@ def test_reimbursement_edges(spark):
     }
 
 
+def test_credits_ask_few_units():
+    """Every day of the window is asked exactly once, by far fewer questions than it has days."""
+    for window in (0, 1, 3, 21, 365):
+        block = reimburse._block_days(window)
+        for phase in range(block):
+            units = reimburse.units_asked(window, block, phase)
+            days = [d for size, start in units for d in range(start, start + size)]
+            assert sorted(days) == list(range(-window, 1)), (window, phase)
+            assert all(size in (1, block) and (size == 1 or (phase + start) % block == 0) for size, start in units)
+            assert window != 21 or len(units) <= 10
+
+
+def test_reimbursement_ties_across_units(spark):
+    """Equal gaps below and above, on one day and on days of one block or of two, before and after 1970."""
+    for first in (dt.date(1969, 12, 20), DAY):
+        r = random.Random(first.year)
+        rows = [
+            (f"{i:04d}", first + dt.timedelta(r.randrange(30)), r.choice([-1, -1, 1]) * r.choice([90.0, 95.0, 100.0, 105.0, 110.0]))
+            for i in range(60)
+        ]
+        for window, tol in ((21, 20.0), (21, 5.0), (2, 10.0), (1, 5.0), (40, 3.0)):
+            assert matches(spark, rows, window, tol) == brute_matches(rows, window, tol), (first, window, tol)
+    rows = [("b", DAY, -90.0), ("a", DAY, -110.0), ("z", DAY + dt.timedelta(1), -111.0), ("c", DAY + dt.timedelta(3), 100.0)]
+    assert matches(spark, rows, 21, 50.0) == {"c": "a"}
+
+
 def ledger_of(spark, rows):
     """(key, name, category, amount) rows as a ledger."""
     base = spark.createDataFrame(rows, "unique_key string, detalle_norm string, categoria string, monto double")
